@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import hilbert, mixing, tiff
+from tessera.llm import fertility, hilbert, mixing, packing, tiff
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(_documents(spark, sf_dir))
 
 
+def op6_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judged(_documents(spark, sf_dir))
+
+
+def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir))
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = hilbert.shard_documents(_documents(spark, sf_dir))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
@@ -29,4 +37,4 @@ def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_tiff_media, op9_hilbert_shards, op10_hash_threshold_mix)}
+    return {f.__name__: f for f in (op4_tiff_media, op6_tokeniser_fertility, op8_vector_packing, op9_hilbert_shards, op10_hash_threshold_mix)}

@@ -4,16 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fertility, hilbert, mixing, packing, tiff
+from tessera.llm import fertility, hilbert, mixing, packing, pii, tiff, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _joined(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op1_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.found(_documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.scored(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(_documents(spark, sf_dir))
 
@@ -37,4 +52,4 @@ def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_tiff_media, op6_tokeniser_fertility, op8_vector_packing, op9_hilbert_shards, op10_hash_threshold_mix)}
+    return {f.__name__: f for f in (op1_candidate_boosting, op2_ftrl_toxicity, op4_tiff_media, op6_tokeniser_fertility, op8_vector_packing, op9_hilbert_shards, op10_hash_threshold_mix)}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fertility, hilbert, mixing, packing, pii, tiff, toxicity
+from tessera.llm import blockdedup, fertility, hilbert, mixing, packing, pii, tiff, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(_documents(spark, sf_dir))
 
 
+def op5_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blockdedup.dedup(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judged(_documents(spark, sf_dir))
 
@@ -52,4 +56,4 @@ def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_candidate_boosting, op2_ftrl_toxicity, op4_tiff_media, op6_tokeniser_fertility, op8_vector_packing, op9_hilbert_shards, op10_hash_threshold_mix)}
+    return {f.__name__: f for f in (op1_candidate_boosting, op2_ftrl_toxicity, op4_tiff_media, op5_fixed_block_anchors, op6_tokeniser_fertility, op8_vector_packing, op9_hilbert_shards, op10_hash_threshold_mix)}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import blockdedup, fertility, hilbert, mixing, packing, pii, tiff, toxicity
+from tessera.llm import blockdedup, fertility, hilbert, mixing, packing, pii, suffixdedup, tiff, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_suffix_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.dedup(_documents(spark, sf_dir))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(_documents(spark, sf_dir))
 
@@ -56,4 +62,4 @@ def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_candidate_boosting, op2_ftrl_toxicity, op4_tiff_media, op5_fixed_block_anchors, op6_tokeniser_fertility, op8_vector_packing, op9_hilbert_shards, op10_hash_threshold_mix)}
+    return {f.__name__: f for f in (op1_candidate_boosting, op2_ftrl_toxicity, op3_suffix_sort_dedup, op4_tiff_media, op5_fixed_block_anchors, op6_tokeniser_fertility, op8_vector_packing, op9_hilbert_shards, op10_hash_threshold_mix)}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import blockdedup, fertility, hilbert, mixing, packing, pii, suffixdedup, tiff, toxicity
+from tessera.llm import blockdedup, fertility, hilbert, lshforest, mixing, packing, pii, suffixdedup, tiff, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op6_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judged(_documents(spark, sf_dir))
 
 
+def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lshforest.near_duplicates(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir))
 
@@ -62,4 +67,4 @@ def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_candidate_boosting, op2_ftrl_toxicity, op3_suffix_sort_dedup, op4_tiff_media, op5_fixed_block_anchors, op6_tokeniser_fertility, op8_vector_packing, op9_hilbert_shards, op10_hash_threshold_mix)}
+    return {f.__name__: f for f in (op1_candidate_boosting, op2_ftrl_toxicity, op3_suffix_sort_dedup, op4_tiff_media, op5_fixed_block_anchors, op6_tokeniser_fertility, op7_lsh_forest, op8_vector_packing, op9_hilbert_shards, op10_hash_threshold_mix)}

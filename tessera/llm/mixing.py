@@ -86,20 +86,24 @@ def thresholds(base: DataFrame, budgets: DataFrame, levels: int = LEVELS, bits:
     return units.groupBy("source").agg(F.coalesce(F.max(F.when(F.col("taken"), F.col("h"))), low).alias("threshold"))
 
 
+def plan(base: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """(s, source_size, target, whole, threshold): a row for each source s."""
+    goal = targets(base, weights, cap).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    goal = stored(goal.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")))
+    cut = thresholds(base, goal.select("source", "budget")).withColumnRenamed("source", "s")
+    goal = goal.join(cut, F.col("source").eqNullSafe(F.col("s")), "left")
+    return stored(goal.select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(-1)).alias("threshold")))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(doc_id, source, size, source_size, target, repeats): how often the mix takes each document."""
     base = stored(sized(docs))
-    goal = targets(base, weights, cap).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    goal = stored(goal.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")))
-    cut = thresholds(base, goal.select("source", "budget"))
-    goal = goal.join(cut.select(F.col("source").alias("s"), "threshold"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(-1)).alias("threshold"))
-    once_more = (F.col("h") <= F.col("threshold")).cast("long")
-    return base.join(goal, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + once_more).alias("repeats"), "h")
+    return base.join(plan(base, weights, cap), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + (F.col("h") <= F.col("threshold")).cast("long")).alias("repeats"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it."""
-    plan = mix(docs, weights, cap)
-    keep = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.first("repeats").alias("_repeats")).where("_repeats > 0")
-    joined = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_repeats")))).select(*docs.columns)
+    """The documents themselves, each as often as the mix takes it; the texts are filtered where they lie."""
+    goal = plan(stored(sized(docs)), weights, cap).select(*(F.col(c).alias(f"_{c}") for c in ("s", "whole", "threshold")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    joined = docs.join(goal, docs["source"].eqNullSafe(F.col("_s"))).withColumn("_n", F.col("_whole") + (id_hash(docs["doc_id"]) <= F.col("_threshold")).cast("long"))
+    return joined.where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*columns)

@@ -61,7 +61,7 @@ def two_rounds(
     What send_again gives for bucket -1 goes to its own group's finish, as bucket -1.
     """
     n = partitions(docs.sparkSession)
-    groups = buckets = 2 * n
+    groups, buckets = n + n // 3 + 1, n  # a message for each pair of them
     dealt = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(groups)).cast("int").alias("g"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def first(key: tuple, table: pa.Table) -> pa.Table:

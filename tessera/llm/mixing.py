@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import stored
+from tessera.llm.cluster import fresh, stored
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -103,7 +103,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The documents themselves, each as often as the mix takes it; the texts are filtered where they lie."""
-    goal = plan(stored(sized(docs)), weights, cap).select(*(F.col(c).alias(f"_{c}") for c in ("s", "whole", "threshold")))
+    goal = plan(stored(sized(docs)), weights, cap)
+    s, whole, threshold, n = (fresh(docs, f"_{c}") for c in ("s", "whole", "threshold", "n"))
+    goal = goal.select(F.col("s").alias(s), F.col("whole").alias(whole), F.col("threshold").alias(threshold))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    joined = docs.join(goal, docs["source"].eqNullSafe(F.col("_s"))).withColumn("_n", F.col("_whole") + (id_hash(docs["doc_id"]) <= F.col("_threshold")).cast("long"))
-    return joined.where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*columns)
+    times = F.col(whole) + (id_hash(F.col("doc_id")) <= F.col(threshold)).cast("long")
+    joined = docs.join(goal, F.col("source").eqNullSafe(F.col(s))).withColumn(n, times).where(F.col(n) > 0)
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*columns)

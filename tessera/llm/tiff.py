@@ -93,11 +93,15 @@ def lzw(data: bytes) -> bytes:
         if size >= 4094:
             put(256)
             table, width = {bytes((i,)): i for i in range(256)}, 9
-        elif size >= (1 << width) - 1:
+        elif size >= 1 << width:  # the reader is one entry behind
             width += 1
     if prefix:
         put(table[prefix])
-        if len(table) + 3 >= (1 << width) - 1 and width < 12:
+        size = len(table) + 3
+        if size >= 4094:
+            put(256)
+            width = 9
+        elif size >= 1 << width:
             width += 1
     put(257)
     if have:

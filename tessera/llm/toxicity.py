@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
+from tessera.llm.cluster import fresh
 
 BITS = 20
 #: Labelled rows of each class that the model is fitted on, at most.
@@ -125,8 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int,
     return {r["at"]: r["w"] for r in some.repartition(1).mapInArrow(each, "at long, w double").collect()}
 
 
-def score(docs: DataFrame, weights: dict[int, float], text: str = "text") -> DataFrame:
-    """docs with `score`, the probability of being toxic; a column of that name is replaced."""
+def score(docs: DataFrame, weights: dict[int, float], text: str = "text", name: str = "score") -> DataFrame:
+    """docs with the probability of being toxic in column `name`, which replaces one of that name."""
     bias = weights.get(1 << BITS, 0.0)
     at = np.array([k for k in weights if k < 1 << BITS], np.int64)
     values = np.array([weights[k] for k in at.tolist()])
@@ -144,7 +145,7 @@ def score(docs: DataFrame, weights: dict[int, float], text: str = "text") -> Dat
             logit[i:j] += np.bincount(hits >> (BITS + 1), w[hits & ((1 << BITS) - 1)], j - i)
         return pa.array(1 / (1 + np.exp(-np.clip(logit, -35, 35))) if known else np.zeros(len(texts)))
 
-    return docs.withColumn("score", probability(F.col(text)))
+    return docs.withColumn(name, probability(F.col(text)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -155,3 +156,10 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with held_out, score and predicted; labels of held-out rows are not learnt from."""
     weights = train(docs, labels.where(~held_out(F.col("doc_id"))))
     return score(docs.withColumn("held_out", held_out(F.col("doc_id"))), weights).withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents with a score below THRESHOLD, whole rows."""
+    name = fresh(docs, "_score")
+    weights = train(docs, labels.where(~held_out(F.col("doc_id"))))
+    return score(docs, weights, name=name).where(F.col(name) < THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))

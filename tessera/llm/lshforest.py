@@ -219,61 +219,64 @@ class Sets:
         return root
 
 
-PAIR = "a long, b long"
+PAIR = "a long, b long, large boolean"
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
-    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _pairs(a: np.ndarray, b: np.ndarray, large: bool) -> pa.Table:
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([large] * len(a), pa.bool_())], ["a", "b", "large"])
+
+
+def _within(table: pa.Table) -> pa.Table:
+    """Each document of a block with the first of its component there."""
+    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    ids = table["doc_id"].to_numpy()
+    root = Sets(table["text"]).components()
+    return _pairs(ids, ids[root], table["blocks"][0].as_py() > 1)
+
+
+def _between(table: pa.Table) -> pa.Table:
+    """The labels of a block's guests with those of the documents that they are linked with."""
+    guest, label = table["guest"].to_numpy(zero_copy_only=False), table["label"].to_numpy()
+    sets, home = Sets(table["text"]), np.flatnonzero(~guest)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in np.flatnonzero(guest).tolist():
+        other = np.unique(label[sets.linked(i, home[label[home] != label[i]])])
+        a.append(np.full(len(other), label[i]))
+        b.append(other)
+    return _pairs(np.concatenate(a), np.concatenate(b), True)
 
 
 def confirmed(docs: DataFrame, proposed: DataFrame) -> DataFrame:
     """(node, root) of the components by links on full sets, for the documents in proposed (node, root)."""
     count = proposed.groupBy(F.col("root").alias("_r")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     part = proposed.join(count, F.col("root") == F.col("_r")).select(F.col("node").alias("_n"), F.col("root").alias("cand"), "blocks")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(part, F.col("doc_id") == F.col("_n")).drop("_n")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(part.hint("merge"), F.col("doc_id") == F.col("_n")).drop("_n")  # what is joined grows with the documents
     members = stored(texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
+    large = members.where("blocks > 1")
     order = Window.partitionBy("cand").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
-    leaders = members.where("blocks > 1").select("cand", "doc_id", "block", "blocks", F.row_number().over(order).alias("k")).where(F.col("k") <= LEADERS)
+    leaders = large.select("cand", "doc_id", "block", "blocks", F.row_number().over(order).alias("k")).where(F.col("k") <= LEADERS)
     lent = leaders.select(F.col("cand").alias("_c"), F.col("doc_id").alias("_d"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_b"))
-    lent = members.where("blocks > 1").join(lent, (F.col("cand") == F.col("_c")) & (F.col("doc_id") == F.col("_d")) & (F.col("block") != F.col("_b"))).select("cand", F.col("_b").alias("block"), "doc_id", "text")
-
-    def within(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        ids = table["doc_id"].to_numpy()
-        root = Sets(table["text"]).components()
-        return _pairs(ids, ids[root])
-
-    first = stored(members.select("cand", "block", "doc_id", "text").unionAll(lent).groupBy("cand", "block").applyInArrow(lambda t: within(t), PAIR))
-    large = members.where("blocks > 1").select("doc_id", "cand", "block", "blocks")
-    links = first
-    if large.limit(1).count():
-        # labels so far; what isn't in the largest part of its candidate component visits all its blocks
-        of = components(first.join(large.select(F.col("doc_id").alias("_d")), F.col("a") == F.col("_d"), "left_semi"))
-        label = stored(large.join(of, F.col("doc_id") == F.col("node"), "left").select("doc_id", "cand", "block", "blocks", F.coalesce("root", "doc_id").alias("label")))
-        parts = label.groupBy("cand", "label").count()
-        main = parts.groupBy("cand").agg(F.max_by("label", F.struct("count", "label")).alias("_m")).withColumnRenamed("cand", "_c")
-        open_ = label.join(main, (F.col("cand") == F.col("_c")) & (F.col("label") != F.col("_m")))
-        guests = open_.select(F.col("doc_id").alias("_d"), F.col("label").alias("_l"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"))
-        guests = members.join(guests, F.col("doc_id") == F.col("_d")).select("cand", F.col("to").alias("block"), "doc_id", "text", F.col("_l").alias("label"), F.lit(True).alias("guest"))
-        hosts = members.where("blocks > 1").join(label.select(F.col("doc_id").alias("_d"), "label"), F.col("doc_id") == F.col("_d")).select("cand", "block", "doc_id", "text", "label", F.lit(False).alias("guest"))
-        visited = guests.select("cand", "block").distinct().select(F.col("cand").alias("_c"), F.col("block").alias("_b"))
-        hosts = hosts.join(visited, (F.col("cand") == F.col("_c")) & (F.col("block") == F.col("_b")), "left_semi")
-
-        def between(table: pa.Table) -> pa.Table:
-            guest, label = table["guest"].to_numpy(zero_copy_only=False), table["label"].to_numpy()
-            sets, a, b = Sets(table["text"]), [], []
-            home = np.flatnonzero(~guest)
-            for i in np.flatnonzero(guest).tolist():
-                other = np.unique(label[sets.linked(i, home[label[home] != label[i]])])
-                a.append(np.full(len(other), label[i]))
-                b.append(other)
-            return _pairs(np.concatenate(a) if a else [], np.concatenate(b) if b else [])
-
-        met = guests.unionAll(hosts).groupBy("cand", "block").applyInArrow(lambda t: between(t), PAIR)
-        links = first.unionAll(stored(met)).unionAll(label.select(F.col("doc_id").alias("a"), F.col("label").alias("b")))
-        return components(links)
-    # each document once, and roots are the smallest ids already
-    return links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    lent = large.join(lent, (F.col("cand") == F.col("_c")) & (F.col("doc_id") == F.col("_d")) & (F.col("block") != F.col("_b"))).select("cand", F.col("_b").alias("block"), "doc_id", "text", "blocks")
+    first = stored(members.select("cand", "block", "doc_id", "text", "blocks").unionAll(lent).groupBy("cand", "block").applyInArrow(lambda t: _within(t), PAIR))
+    small = first.where("not large").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    if not large.limit(1).count():
+        return small
+    # labels so far; what isn't in the largest part of its candidate component visits all blocks of it
+    of = components(first.where("large").select("a", "b"))
+    ids = large.select("doc_id", "cand", "block", "blocks")
+    label = stored(ids.join(of, F.col("doc_id") == F.col("node"), "left").select("doc_id", "cand", "block", "blocks", F.coalesce("root", "doc_id").alias("label")))
+    main = label.groupBy("cand", "label").count().groupBy(F.col("cand").alias("_c")).agg(F.max_by("label", F.struct("count", "label")).alias("_m"))
+    open_ = stored(label.join(main, (F.col("cand") == F.col("_c")) & (F.col("label") != F.col("_m"))).select("doc_id", "cand", "blocks", "label"))
+    roots = label.select(F.col("doc_id").alias("node"), F.col("label").alias("root"))
+    if not open_.limit(1).count():
+        return small.unionAll(roots)
+    to = open_.select(F.col("doc_id").alias("_d"), F.col("label").alias("_l"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"))
+    guests = large.join(to, F.col("doc_id") == F.col("_d")).select("cand", F.col("to").alias("block"), "doc_id", "text", F.col("_l").alias("label"), F.lit(True).alias("guest"))
+    hosts = large.join(open_.select(F.col("cand").alias("_c")).distinct(), F.col("cand") == F.col("_c"), "left_semi")
+    hosts = hosts.join(label.select(F.col("doc_id").alias("_d"), "label"), F.col("doc_id") == F.col("_d")).select("cand", "block", "doc_id", "text", "label", F.lit(False).alias("guest"))
+    met = components(guests.unionAll(hosts).groupBy("cand", "block").applyInArrow(lambda t: _between(t), PAIR).select("a", "b"))
+    joined = roots.join(met.select(F.col("node").alias("_l"), F.col("root").alias("_m")), F.col("root") == F.col("_l"), "left")
+    return small.unionAll(joined.select("node", F.coalesce("_m", "root").alias("root")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -293,5 +296,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents that are the first of their component, whole rows."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -2,9 +2,10 @@
 
 A public vocabulary (BPE with byte fallback) splits every word; per text this
 gives characters per token, the share of byte-fallback tokens and the entropy
-of the tokens. A text is rejected where one of them leaves the band of its
-language: quartiles over all documents of the language, widened by a multiple
-of their distance. Besides, plain counts (symbols, repeated lines, repeated
+of the tokens. Entropy grows with a text's length, so it is taken relative to
+the median of its language and length class (half octaves of tokens). A text is
+rejected where a measure leaves the band of its language: quartiles over all
+documents of the language, widened by a multiple of their distance. Besides, plain counts (symbols, repeated lines, repeated
 three-word windows) give a base verdict.
 
 Texts are tokenised whole. Each distinct word is tokenised once for each worker
@@ -32,7 +33,7 @@ VOCABULARY = "piece_bpe_32k.model"
 CACHE_WORDS = 1_000_000
 #: Band: quartiles widened by so many times their distance, and by a least distance; more for texts under STEADY_WORDS, by the root of the ratio.
 WIDEN, STEADY_WORDS = 2.0, 200
-LEAST = {"chars_per_token": 0.05, "byte_share": 0.02, "token_entropy": 0.2}
+LEAST = {"chars_per_token": 0.05, "byte_share": 0.02, "entropy_excess": 0.3}
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -174,16 +175,18 @@ def features(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def judged(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """features with chars_per_token, byte_share, base_failed, the bands' verdict `in_bands` and kept."""
+    """features with chars_per_token, byte_share, entropy_excess, base_failed, the bands' verdict `in_bands` and kept."""
     some = F.col("n_tokens") > 0
     ratio = lambda a: F.when(some, F.col(a) / F.col("n_tokens"))
     f = stored(features(docs, path)).withColumns({"chars_per_token": ratio("word_chars"), "byte_share": ratio("n_byte_tokens"), "token_entropy": F.when(some, F.col("token_entropy"))})
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     f = f.withColumn("base_failed", failed)
+    sized = f.withColumn("size_class", F.when(some, F.floor(2 * F.log2("n_tokens"))))
+    usual = sized.where(~failed).groupBy(F.col("lang").alias("_lang"), F.col("size_class").alias("_class")).agg(F.percentile_approx("token_entropy", 0.5, 2000).alias("_usual"))
+    f = sized.join(usual, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("size_class") == F.col("_class")), "left").withColumn("entropy_excess", F.col("token_entropy") - F.col("_usual")).drop("_lang", "_class", "_usual", "size_class")
     measures = list(LEAST)
     quartiles = f.where(~failed).groupBy(F.col("lang").alias("_lang")).agg(*(F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(f"_{m}") for m in measures))
     f = f.join(quartiles, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-
     short = F.greatest(F.lit(1.0), F.sqrt(F.lit(STEADY_WORDS) / F.greatest("n_words", F.lit(1))))
 
     def inside(m: str):
@@ -191,5 +194,5 @@ def judged(docs: DataFrame, path: str | None = None) -> DataFrame:
         spread = F.greatest((high - low) * WIDEN, F.lit(LEAST[m])) * short
         return F.col(m).between(low - spread, high + spread)
 
-    verdict = F.coalesce(inside("chars_per_token") & inside("token_entropy") & inside("byte_share"), F.lit(False))
+    verdict = F.coalesce(inside("chars_per_token") & inside("entropy_excess") & inside("byte_share"), F.lit(False))
     return f.withColumn("in_bands", verdict).withColumn("kept", ~F.col("base_failed") & verdict).drop("_lang", *(f"_{m}" for m in measures))

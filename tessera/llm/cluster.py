@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The tables that stored() has written, in order.
+WRITTEN: list[str] = []
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which its owner sizes to the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -29,9 +33,19 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables written from the `since`-th on but for the last `keep`; what reads them must be done."""
+    end = len(WRITTEN) - keep
+    for path in WRITTEN[since:end]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del WRITTEN[since:end]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like `name` that df doesn't have yet; case doesn't count."""
     have = {c.lower() for c in df.columns}

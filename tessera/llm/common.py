@@ -37,7 +37,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             x = np.full(m, b, np.uint64)
             x[0] = 1
             made.append(np.cumprod(x, dtype=np.uint64))
-        if m > 8 * BLOCK:
+        if m > 2 * BLOCK:
             return made[0], made[1]
         _powers[:] = made
     return _powers[0], _powers[1]

@@ -17,8 +17,8 @@ steps; neighbours with LENGTH bytes in common are checked byte by byte and all
 but the earliest of such a run are removed.
 
 An anchor that more than HOT groups hold in several kinds (the edges of a
-passage that very many documents share) is dealt out window by window, by the
-windows' own hashes, so that no bucket has all of its slices.
+passage that very many documents share) is dealt out window by window, by 128
+bits of the windows themselves, so that no bucket has all of its slices.
 
 Nulls: a null text has no bytes; a null doc_id comes before all others. Rows of
 one doc_id are taken in the order of their texts. Texts shorter than LENGTH
@@ -37,12 +37,15 @@ from tessera.llm.meeting import Group, bucket_slices, two_rounds
 LENGTH = 100
 K = 32
 #: Groups that hold an anchor in several kinds before its windows are dealt out singly.
-HOT = 64
+HOT = 256
+#: Bytes of slices that are sorted at once.
+PART = 1 << 20
 U = C.U
 LOW = U(0xFFFFFFFF)
 
 ENTRY = np.dtype([("h", "<u8"), ("digest", "<u8"), ("doc", "<i8"), ("several", "?")])
 PIECE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("offset", "<i4"), ("n", "<i4")])
+SINGLE = np.dtype([("h", "<u8"), ("more", "<u8"), ("doc", "<i8")])
 OWN, COPY, SORT, SORT_SINGLY = 0, 1, 2, 3
 
 
@@ -80,6 +83,15 @@ def slices(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = K)
     return tuple(np.concatenate(x) if x else np.empty(0, t) for x, t in zip(parts, kinds, strict=True))
 
 
+def planes(records: np.ndarray) -> bytes:
+    """The records' bytes, first all first bytes, then all second ones: like bytes lie together and compress."""
+    return np.ascontiguousarray(records.view(np.uint8).reshape(len(records), records.dtype.itemsize).T).tobytes()
+
+
+def unplaned(blob: bytes, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
 class SuffixOrder:
     """Suffixes of `data`, compared up to `length` values by prefix hashes."""
 
@@ -149,7 +161,30 @@ class SuffixOrder:
 
 
 def later(pieces: np.ndarray, data: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For each window of each piece (their bytes follow one another in data): whether an equal one is earlier."""
+    """For each window of each piece (their bytes follow one another in data): whether an equal one is earlier.
+
+    Keys are taken in parts of about PART bytes, so that the prefix hashes of
+    one part only are in memory.
+    """
+    n = pieces["n"].astype(np.int64)
+    size = n + length - 1
+    first = np.concatenate(([0], np.cumsum(size)))[:-1]
+    window = np.concatenate(([0], np.cumsum(n)))[:-1]
+    out = np.zeros(int(n.sum()), bool)
+    order = np.argsort(pieces["key"], kind="stable")
+    key, upto = pieces["key"][order], np.cumsum(size[order])
+    i = 0
+    while i < len(order):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + PART, "right")))
+        j = int(np.searchsorted(key, key[j - 1], "right"))
+        some = order[i:j]
+        if j - i > 1:
+            out[C.ragged(window[some], n[some])] = _later(pieces[some], data[C.ragged(first[some], size[some])], length)
+        i = j
+    return out
+
+
+def _later(pieces: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
     n = pieces["n"].astype(np.int64)
     first = np.concatenate(([0], np.cumsum(n + length - 1)))[:-1]
     suffix = C.ragged(first, n)
@@ -206,10 +241,10 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def send(group: Group, buckets: int) -> dict[int, bytes]:
         _, e, b, _ = entries(group, buckets)
-        return {k: e[i:j].tobytes() for k, i, j in bucket_slices(b)}
+        return {k: planes(e[i:j]) for k, i, j in bucket_slices(b)}
 
     def answer(blobs: dict[int, bytes]) -> dict[int, bytes]:
-        e = np.concatenate([np.frombuffer(x, ENTRY) for x in blobs.values()])
+        e = np.concatenate([unplaned(x, ENTRY) for x in blobs.values()])
         order = np.lexsort((e["doc"], e["several"], e["digest"], e["h"]))
         s = e[order]
         new_h = np.ones(len(s), bool)
@@ -237,53 +272,67 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         gone = np.concatenate((copies, lead[of == COPY]))
         together, singly = lead[of == SORT], lead[of == SORT_SINGLY]
         at, count, key, offset = first[together], n[together], h[together], anchor[together] - first[together]
-        if len(singly):
-            w = np.sort(C.ragged(first[singly], n[singly]))
-            wh = window_hashes(group.data, w, length)
-            # of equal windows here, the earliest goes on
-            by = np.lexsort((w, wh))
-            again = np.zeros(len(w), bool)
-            again[by[1:]] = wh[by][1:] == wh[by][:-1]
-            gone_w = w[again]
-            w, wh = w[~again], wh[~again]
-            at, count, key, offset = np.concatenate((at, w)), np.concatenate((count, np.ones(len(w), np.int64))), np.concatenate((key, wh)), np.concatenate((offset, np.full(len(w), -1, np.int64)))
-        else:
-            gone_w = np.empty(0, np.int64)
+        # of equal windows here, the earliest goes on
+        w = np.sort(C.ragged(first[singly], n[singly]))
+        wh = window_hashes(group.data, w, length)
+        more = C.mix(wh ^ window_hashes(group.data, w, length // 2))
+        by = np.lexsort((w, more, wh))
+        again = np.zeros(len(w), bool)
+        again[by[1:]] = (wh[by][1:] == wh[by][:-1]) & (more[by][1:] == more[by][:-1])
+        gone_w, by = w[again], by[~again[by]]
         b = (key % U(buckets)).astype(np.int64)
         order = np.argsort(b, kind="stable")
         at, count, key, offset, b = at[order], count[order], key[order], offset[order], b[order]
+        owner = lambda x: group.ids[np.searchsorted(group.off, x, "right") - 1]
         pieces = np.zeros(len(at), PIECE)
-        pieces["key"], pieces["at"], pieces["offset"], pieces["n"] = key, at, offset, count
-        pieces["doc"] = group.ids[np.searchsorted(group.off, at, "right") - 1]
+        pieces["key"], pieces["at"], pieces["offset"], pieces["n"], pieces["doc"] = key, at, offset, count, owner(at)
+        bs = (wh[by] % U(buckets)).astype(np.int64)
+        order = np.argsort(bs, kind="stable")
+        by, bs = by[order], bs[order]
+        singles = np.zeros(len(by), SINGLE)
+        singles["h"], singles["more"], singles["doc"] = wh[by], more[by], owner(w[by])
         out = {}
-        for k, i, j in bucket_slices(b):
+        of_pieces, of_singles = ({k: (i, j) for k, i, j in bucket_slices(x)} for x in (b, bs))
+        for k in {*of_pieces, *of_singles}:
+            i, j = of_pieces.get(k, (0, 0))
+            p, q = of_singles.get(k, (0, 0))
             text = group.data[C.ragged(at[i:j], count[i:j] + length - 1)]
-            out[k] = b"".join((np.int64(j - i).tobytes(), pieces[i:j].tobytes(), text.tobytes()))
-        state = (np.concatenate((first[gone], gone_w)), np.concatenate((n[gone], np.ones(len(gone_w), np.int64))), at, count, b)
-        out[-1] = b"".join((np.array([len(state[0]), len(at)], np.int64).tobytes(), *(x.astype(np.int64).tobytes() for x in state)))
+            out[k] = b"".join((np.array([j - i, q - p], np.int64).tobytes(), pieces[i:j].tobytes(), planes(singles[p:q]), text.tobytes()))
+        state = (np.concatenate((first[gone], gone_w)), np.concatenate((n[gone], np.ones(len(gone_w), np.int64))), at, count, b, w[by], bs)
+        out[-1] = b"".join((np.array([len(state[0]), len(at), len(by)], np.int64).tobytes(), *(x.astype(np.int64).tobytes() for x in state)))
         return out
 
     def answer_again(blobs: dict[int, bytes]) -> dict[int, bytes]:
-        pieces, texts, windows = [], [], []
+        pieces, texts, singles, windows = [], [], [], []
         for x in blobs.values():
-            k = int(np.frombuffer(x, np.int64, 1)[0])
-            pieces.append(np.frombuffer(x, PIECE, k, 8))
-            texts.append(np.frombuffer(x, np.uint8, -1, 8 + k * PIECE.itemsize))
-            windows.append(int(pieces[-1]["n"].sum()))
+            k, m = np.frombuffer(x, np.int64, 2).tolist()
+            middle = 16 + k * PIECE.itemsize
+            end = middle + m * SINGLE.itemsize
+            pieces.append(np.frombuffer(x, PIECE, k, 16))
+            singles.append(unplaned(x[middle:end], SINGLE) if m else np.empty(0, SINGLE))
+            texts.append(np.frombuffer(x, np.uint8, -1, end) if end < len(x) else np.empty(0, np.uint8))
+            windows.append((int(pieces[-1]["n"].sum()), m))
         out = later(np.concatenate(pieces), np.concatenate(texts), length)
-        at = np.concatenate(([0], np.cumsum(windows)))
-        return {g: np.packbits(out[at[i] : at[i + 1]]).tobytes() for i, g in enumerate(blobs)}
+        s = np.concatenate(singles)
+        order = np.lexsort((s["doc"], s["more"], s["h"]))
+        again = np.zeros(len(s), bool)
+        again[order[1:]] = (s["h"][order][1:] == s["h"][order][:-1]) & (s["more"][order][1:] == s["more"][order][:-1])
+        at = np.concatenate((np.zeros((1, 2), np.int64), np.cumsum(np.array(windows, np.int64).reshape(-1, 2), 0)))
+        return {g: np.packbits(np.concatenate((out[at[i, 0] : at[i + 1, 0]], again[at[i, 1] : at[i + 1, 1]]))).tobytes() for i, g in enumerate(blobs)}
 
     def finish(group: Group, buckets: int, replies: dict[int, bytes]) -> pa.Table:
         size, docs_ = len(group.data), len(group.off) - 1
         state = np.frombuffer(replies.get(-1, b""), np.int64)
         windows = [np.empty(0, np.int64)]
         if len(state):
-            k, m = state[:2].tolist()
-            first, n, at, count, b = np.split(state[2:], np.cumsum([k, k, m, m]))
+            k, m, r = state[:3].tolist()
+            first, n, at, count, b, single, bs = np.split(state[3:], np.cumsum([k, k, m, m, m, r]))
             windows.append(C.ragged(first, n))
-            for x, i, j in bucket_slices(b):
-                w = C.ragged(at[i:j], count[i:j])
+            of_pieces, of_singles = ({x: (i, j) for x, i, j in bucket_slices(y)} for y in (b, bs))
+            for x in {*of_pieces, *of_singles}:
+                i, j = of_pieces.get(x, (0, 0))
+                p, q = of_singles.get(x, (0, 0))
+                w = np.concatenate((C.ragged(at[i:j], count[i:j]), single[p:q]))
                 windows.append(w[np.unpackbits(np.frombuffer(replies[x], np.uint8), count=len(w)).astype(bool)])
         removed = C.cover(np.concatenate(windows), length, size)
         edge = np.zeros(size + 1, bool)

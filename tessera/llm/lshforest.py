@@ -47,6 +47,8 @@ NEAR = 12
 LEAST_AGREEMENT = 0.65
 BLOCK, LEADERS = 1024, 16
 CHUNK = 1 << 17
+#: Rows of a region that a batch sends at least.
+KEEP = 64
 U = C.U
 _rng = np.random.Generator(np.random.PCG64(8))
 FACTORS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * U(2) + U(1)
@@ -85,6 +87,11 @@ def signatures(h: np.ndarray, soff: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out, np.add.reduceat(C.mix(h ^ U(0x5555)), full), np.add.reduceat(C.mix(h ^ U(0xAAAA0000)), full)
 
 
+def _fixed(x: np.ndarray) -> pa.Array:
+    """The rows of a byte matrix as a binary column."""
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1]), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary()) if len(x) else pa.array([], pa.binary())
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, minima, brief): minima big-endian, so that binary order is theirs; brief has a byte of each."""
 
@@ -98,9 +105,8 @@ def signed(docs: DataFrame) -> DataFrame:
                 full = np.flatnonzero(n > 0)
                 minima, k1, k2 = signatures(h, soff)
                 place = pa.array(np.where(n > 0, np.cumsum(n > 0) - 1, 0), mask=n == 0)
-                fixed = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1]), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary()) if len(x) else pa.array([], pa.binary())
                 brief = np.ascontiguousarray((minima & 0xFF).astype(np.uint8))
-                keyed = [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), fixed(np.ascontiguousarray(minima.astype(">u4")).view(np.uint8).reshape(len(full), -1)), fixed(brief)]
+                keyed = [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), _fixed(np.ascontiguousarray(minima.astype(">u4")).view(np.uint8).reshape(len(full), -1)), _fixed(brief)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), *(x.take(place) for x in keyed)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, n_shingles long, k1 long, k2 long, minima binary, brief binary")
@@ -142,12 +148,59 @@ def neighbours(tree: np.ndarray, prefix: np.ndarray, brief: np.ndarray, ids: np.
     return a[keep], b[keep]
 
 
+ROW = "tree int, prefix binary, brief binary, doc_id long, root long"
+
+
+def condensed(prefix: np.ndarray, brief: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sent, joined, root): of rows in the tree's order, which go on, and which are joined here with the first of their region.
+
+    Only where more than KEEP rows of one batch share the first minimum, and
+    only rows whose signatures agree with the first one's as those of linked
+    documents do: what is joined here needs no neighbour elsewhere.
+    """
+    n = len(ids)
+    start = np.flatnonzero(np.append(True, prefix[1:, 0] != prefix[:-1, 0]))
+    size = np.diff(np.append(start, n))
+    first, place = np.repeat(start, size), np.arange(n) - np.repeat(start, size)
+    far = np.flatnonzero((np.repeat(size, size) > KEEP) & (place >= KEEP))
+    alike = far[(brief[far] == brief[first[far]]).sum(1) * 100 >= PERCENT * HASHES]
+    sent = np.ones(n, bool)
+    sent[alike] = False
+    return np.flatnonzero(sent), alike, first[alike]
+
+
 def candidates(sets: DataFrame) -> DataFrame:
-    """(a, b) edges that join all candidates of the forest, from (doc_id, minima, brief)."""
+    """(a, b) edges that join all candidates of the forest, from (doc_id, minima, brief).
+
+    A region that very many documents share is condensed batch by batch before
+    it is shuffled, as a partial aggregation would be.
+    """
     wide = 4 * DEPTH
-    rows = sets.select("doc_id", "brief", "minima", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    rows = rows.select("tree", F.expr(f"substring(minima, tree * {wide} + 1, {wide})").alias("prefix"), "brief", "doc_id")
-    rows = rows.repartition(partitions(sets.sparkSession), "tree", F.expr("substring(prefix, 1, 4)")).sortWithinPartitions("tree", "prefix", "brief", "doc_id")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            ids = batch.column(0).to_numpy()
+            minima = C.strings(batch.column(1))[0].reshape(n, 4 * HASHES)
+            brief = C.strings(batch.column(2))[0].reshape(n, HASHES)
+            for t in range(TREES):
+                raw = np.ascontiguousarray(minima[:, t * wide : (t + 1) * wide])
+                prefix = raw.view(">u4")
+                order = np.lexsort((ids, *prefix.T[::-1]))
+                sent, joined, root = condensed(prefix[order], brief[order], ids[order])
+                rows = order[sent]
+                empty = pa.nulls(len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), _fixed(raw[rows]), batch.column(2).take(pa.array(rows)), pa.array(ids[rows]), empty], ["tree", "prefix", "brief", "doc_id", "root"])
+                if len(joined):
+                    m = len(joined)
+                    key = _fixed(np.ascontiguousarray(ids[order[joined]].astype(">i8")).view(np.uint8).reshape(m, 8))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1, np.int32)), key, pa.nulls(m, pa.binary()), pa.array(ids[order[joined]]), pa.array(ids[order[root]])], ["tree", "prefix", "brief", "doc_id", "root"])
+
+    rows = sets.select("doc_id", "minima", "brief").mapInArrow(spread, ROW)
+    # joined rows have tree -1 and are dealt by their ids, the others by tree and first minimum
+    rows = rows.repartition(partitions(sets.sparkSession), "tree", F.when(F.col("tree") < 0, F.col("prefix")).otherwise(F.expr("substring(prefix, 1, 4)"))).sortWithinPartitions("tree", "prefix", "brief", "doc_id")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -164,7 +217,11 @@ def candidates(sets: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(distinct[some]), pa.array(distinct[root[some]])], ["a", "b"])
 
         for batch in batches:
-            held.append(batch)
+            done = int(np.searchsorted(batch.column(0).to_numpy(), 0))
+            if done:
+                yield pa.RecordBatch.from_arrays([batch.column(3).slice(0, done), batch.column(4).slice(0, done)], ["a", "b"])
+            if done < batch.num_rows:
+                held.append(batch.slice(done))
             if sum(x.num_rows for x in held) >= CHUNK:
                 table = pa.Table.from_batches(held)
                 yield edges(table)

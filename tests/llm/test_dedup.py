@@ -140,3 +140,17 @@ def test_signature_agreement():
     minima, k1, _ = lshforest.signatures(h, np.array([0, 1000, 2000]))
     assert abs((minima[0] == minima[1]).mean() - 900 / 1100) < 0.2 and k1[0] != k1[1]
     assert C.U is np.uint64
+
+
+def test_condensed_regions(spark, monkeypatch):
+    """Hundreds of near copies in one batch: most rows are joined before the shuffle, and nothing is lost."""
+    monkeypatch.setattr(lshforest, "KEEP", 4)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(words[:i] + ["x"] + words[i + 1 :])) for i in range(0, 200, 2)] + [(1000 + i, " ".join(f"o{i}v{k}" for k in range(50))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = Counter(tuple(r) for r in lshforest.near_duplicates(docs).collect())
+    assert got == brute_components(ordered(docs))
+    prefix, brief = np.zeros((10, 4), np.uint32), np.zeros((10, lshforest.HASHES), np.uint8)
+    brief[9] = 1
+    sent, joined, root = lshforest.condensed(prefix, brief, np.arange(10))
+    assert sent.tolist() == [0, 1, 2, 3, 9] and joined.tolist() == [4, 5, 6, 7, 8] and set(root.tolist()) == {0}

@@ -39,7 +39,7 @@ K = 32
 #: Groups that hold an anchor in several kinds before its windows are dealt out singly.
 HOT = 256
 #: Bytes of slices that are sorted at once.
-PART = 1 << 20
+PART = 1 << 19
 U = C.U
 LOW = U(0xFFFFFFFF)
 
@@ -53,7 +53,7 @@ def slices(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = K)
     """(first, n, anchor, h, digest): windows first..first+n-1 have the anchor at `anchor`; digest is of all their bytes."""
     parts = [[], [], [], [], []]
     wide = length - k + 1
-    for i, j in C.blocks(off):
+    for i, j in C.blocks(off, C.BLOCK // 2):
         low = off[i]
         d = data[low : off[j]]
         if len(d) < length:

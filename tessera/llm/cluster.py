@@ -12,6 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 WRITTEN: list[str] = []
 
 
+#: Bytes of a batch that goes to a Python worker: a few thousand texts, or one longer one.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds what the JVM and each Python worker hold of a partition at once, whatever the length of its texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, None) or 1 << 40) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which its owner sizes to the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
-from tessera.llm.cluster import stored
+from tessera.llm.cluster import bounded_batches, stored
 
 VOCABULARY = "piece_bpe_32k.model"
 CACHE_WORDS = 1_000_000
@@ -160,6 +160,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def features(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, lang) with COUNTS (long) and token_entropy (double)."""
+    bounded_batches(docs.sparkSession)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, {', '.join(f'{c} long' for c in COUNTS)}, token_entropy double"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

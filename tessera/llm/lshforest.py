@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
-from tessera.llm.cluster import partitions, stored
+from tessera.llm.cluster import bounded_batches, partitions, stored
 from tessera.llm.graph import components, local_components
 
 SHINGLE, PERCENT = 5, 85
@@ -109,6 +109,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 keyed = [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), _fixed(np.ascontiguousarray(minima.astype(">u4")).view(np.uint8).reshape(len(full), -1)), _fixed(brief)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), *(x.take(place) for x in keyed)], names)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, n_shingles long, k1 long, k2 long, minima binary, brief binary")
 
 

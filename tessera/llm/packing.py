@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tessera.llm import common as C
+from tessera.llm.cluster import bounded_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SPECIAL = {"<|endoftext|>": 50256}
@@ -169,6 +170,7 @@ PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id l
 
 def pack_documents(docs: DataFrame, path: str | None = None, limits: Limits = Limits(), with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id and PIECE's columns, and the piece's ids if asked for."""
+    bounded_batches(docs.sparkSession)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECE}{', ids array<int>' * with_ids}"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

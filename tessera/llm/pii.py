@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.cluster import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone")
 RANK = {k: i for i, k in enumerate(KINDS)}
 
@@ -275,6 +277,7 @@ SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ki
 
 def found(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans): the base's spans and all spans of each text."""
+    bounded_batches(docs.sparkSession)
     trees = model()
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {SPAN}, spans {SPAN}"
 
@@ -299,6 +302,7 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the spans of `text` replaced; a null text stays null."""
+    bounded_batches(docs.sparkSession)
     trees = model()
 
     @F.arrow_udf("string")

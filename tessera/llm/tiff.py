@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm.cluster import bounded_batches
+
 WIDTH = 64
 #: Rows of a page, so that a long text is several pages, and rows of a strip.
 PAGE_ROWS, STRIP_ROWS = 4096, 256
@@ -285,6 +287,7 @@ MEDIA_SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_cr
 
 def text_media(docs: DataFrame, with_media: bool = False) -> DataFrame:
     """Each text stored as a TIFF and read back: doc_id and MEDIA_SCHEMA's columns, the file itself if asked for."""
+    bounded_batches(docs.sparkSession)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {MEDIA_SCHEMA}{', media binary' * with_media}"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

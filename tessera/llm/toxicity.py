@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
-from tessera.llm.cluster import fresh
+from tessera.llm.cluster import bounded_batches, fresh
 
 BITS = 20
 #: Labelled rows of each class that the model is fitted on, at most.
@@ -128,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int,
 
 def score(docs: DataFrame, weights: dict[int, float], text: str = "text", name: str = "score") -> DataFrame:
     """docs with the probability of being toxic in column `name`, which replaces one of that name."""
+    bounded_batches(docs.sparkSession)
     bias = weights.get(1 << BITS, 0.0)
     at = np.array([k for k in weights if k < 1 << BITS], np.int64)
     values = np.array([weights[k] for k in at.tolist()])

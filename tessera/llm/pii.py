@@ -2,8 +2,9 @@
 
 The base finds emails, IPv4 addresses, payment cards and phone numbers by
 pattern and check. Generators with high recall propose more spans, overlapping
-ones too: disguised emails, and runs of digits with any separators, as a phone
-number, a card or an address. Trees boosted on the logistic loss see each
+ones too: disguised emails, and runs of digits with any separators, whole and
+from each group of digits to each other one, as a phone number, a card or an
+address. Trees boosted on the logistic loss see each
 span's format and context (never the whole text) and a Platt scale turns their
 sum into a probability; a threshold for each kind, chosen on examples that the
 trees were not fitted on, selects what is added. Examples are made by rule in
@@ -74,9 +75,10 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], RANK[s[2]], s[1]))
 
 
-#: Proposals: an email with its signs spelt out or spaced; a run of digits with separators.
+#: Proposals: an email with its signs spelt out or spaced; a run of digits with separators, as long as it goes on.
 SPELT = re.compile(r"(?:\x20?[(\[{<]\x20?at\x20?[)\]}>]\x20?|\x20at\x20|\x20?@\x20?)[A-Za-z0-9-]{1,63}(?:(?:\x20?[(\[{<]\x20?dot\x20?[)\]}>]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{1,63}){1,5}", re.I)
-NUMBER = re.compile(r"(?<![0-9A-Za-z.,])[+(]?[0-9](?:[\x20().\-/]{0,3}+[0-9]){6,}+(?![0-9A-Za-z])")
+NUMBER = re.compile(r"(?<![0-9A-Za-z.,])[+(]?[0-9](?:[\x20().\-/]{0,3}+[0-9]){6,}+")
+DIGITS = re.compile("[0-9]+")
 
 
 def proposals(text: str) -> Iterator[tuple[int, int, str]]:
@@ -87,13 +89,33 @@ def proposals(text: str) -> Iterator[tuple[int, int, str]]:
             if start < m.start():
                 yield start, m.end(), "email"
     for m in NUMBER.finditer(text):
-        n = len(NOT_DIGIT.sub("", m.group()))
-        if 7 <= n <= 15:
-            yield m.start(), m.end(), "phone"
-        if 12 <= n <= 19:
-            yield m.start(), m.end(), "card"
-        if m.group().count(".") == 3 and n <= 12:
-            yield m.start(), m.end(), "ip"
+        yield from number_spans(text, m.start(), m.end())
+
+
+def number_spans(text: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
+    """Each span of 7 to 19 digits from one group of digits of a run to another, as numbers stand beside each other; by start, the longest first.
+
+    A group has a digit at least, so a start has 13 ends at most.
+    """
+    groups = [g.span() for g in DIGITS.finditer(text, start, end)]
+    if text[end : end + 1].isascii() and text[end : end + 1].isalnum():
+        groups.pop()
+    for i, (first, _) in enumerate(groups):
+        s = start if i == 0 else first - (text[first - 1] == "(")
+        ends, n = [], 0
+        for low, high in groups[i : i + 19]:
+            n += high - low
+            if n > 19:
+                break
+            if n >= 7:
+                ends.append((high, n))
+        for e, n in reversed(ends):
+            if n <= 15:
+                yield s, e, "phone"
+            if n >= 12:
+                yield s, e, "card"
+            if n <= 12 and text.count(".", s, e) == 3:
+                yield s, e, "ip"
 
 
 CONTEXT = 32
@@ -104,7 +126,9 @@ HINTS = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "cell", "whatsapp", "number", "ruf", "appel", "llam"),
 }
 AGAINST = ("order", "invoice", "version", "serial", "isbn", "sku", "id", "date", "total", "price", "page", "no.", "ref", "build", "token", "section")
-FEATURES = ("email", "ip", "card", "phone", "length", "digits", "letters", "dots", "dashes", "spaces", "slashes", "parens", "plus", "groups", "longest_group", "shortest_group", "first_group", "last_group", "luhn", "parts_ok", "spelt_at", "spelt_dot", "at_sign", "tld", "hint", "against", "before_space", "after_space", "money", "distinct", "date_like")
+FEATURES = ("email", "ip", "card", "phone", "length", "digits", "letters", "dots", "dashes", "spaces", "slashes", "parens", "plus", "groups", "longest_group", "shortest_group", "first_group", "last_group", "luhn", "parts_ok", "spelt_at", "spelt_dot", "at_sign", "tld", "hint", "against", "before_space", "after_space", "money", "distinct", "date_like", "left_size", "left_gap", "left_joined", "right_size", "right_gap", "right_joined")
+#: The group of digits on each side that a run would join to the span, and what stands between.
+LEFT, RIGHT = re.compile(r"([0-9]{1,20})([\x20().\-/]{1,3})$"), re.compile(r"([\x20().\-/]{1,3})([0-9]{1,20})")
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
@@ -116,17 +140,19 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
     sizes = [len(g) for g in groups] or [0]
     tail = re.search(r"[a-z]+$", low)
     before, after = text[start - 1 : start], text[end : end + 1]
+    l, r = LEFT.search(text[max(0, start - 24) : start]), RIGHT.match(text, end)  # noqa: E741
     return [
         *(float(kind == k) for k in KINDS), len(s), len(digits), sum(c.isalpha() for c in s), s.count("."), s.count("-"), s.count(" "), s.count("/"), s.count("("), s[:1] == "+",
         len(groups), max(sizes), min(sizes), sizes[0], sizes[-1], bool(digits) and luhn(digits), len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups),
         bool(re.search(r"[^a-z]at[^a-z]", low)), bool(re.search(r"[^a-z]dot[^a-z]", low)), "@" in s, len(tail.group()) if tail else 0,
         any(h in left for h in HINTS[kind]), any(a in left for a in AGAINST), before in ("", " ", "\n", "(", ":", "<", '"'), after in ("", " ", "\n", ")", ".", ",", ";", ">", '"'),
         before in ("$", "€", "£", "#") or after in ("%", "€"), len(set(digits)), bool(re.fullmatch(r"(?:(?:19|20)\d\d[-/. ]\d\d?[-/. ]\d\d?|\d\d?[-/. ]\d\d?[-/. ](?:19|20)\d\d)[\d: ]*", s)),
+        *((len(l[1]), len(l[2]), " " not in l[2]) if l else (0, 0, False)), *((len(r[2]), len(r[1]), " " not in r[1]) if r else (0, 0, False)),
     ]
 
 
 def examples(n: int = 6000, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of spans in made sentences: half personal data, half look-alikes."""
+    """Features and labels of spans in made sentences: half personal data, half look-alikes; some stand beside other numbers, or are parts of them."""
     r = Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice(("an", "er", "tion", "re", "lo", "mi", "sta", "ou", "ble")) for _ in range(r.randint(1, 4)))
@@ -156,8 +182,38 @@ def examples(n: int = 6000, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
             "phone": lambda: r.choice((date, date.replace("-", "/"), d(r.randint(7, 15)), f"{d(1)}.{d(6)}", f"{d(3)}.{d(3)}.{d(3)}.{d(2)}", f"{d(4)} {d(4)}", f"{r.randint(1900, 2030)}-{r.randint(1900, 2030)}", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{d(4)}/{d(4)}", card(False))),
         }[kind]()
 
+    def beside() -> tuple[str, int, int, str, bool]:
+        """Two or three numbers in a row, and a span of their run: a personal one of them, or any other part."""
+        while True:
+            year, month, day = r.randint(1950, 2030), r.randint(1, 12), r.randint(1, 28)
+            other = lambda: r.choice((f"{year}-{month:02d}-{day:02d}", f"{day}/{month}/{year}", str(year), d(r.randint(1, 6)), f"{month:02d}/{r.randint(20, 39)}", f"{d(3)}.{d(2)}", d(r.randint(8, 20)), f"{r.randint(1, 99)} {d(2)} {d(3)}", ".".join(str(r.randint(0, 255)) for _ in range(4))))  # noqa: E731, B023
+            kinds = [r.choice(("phone", "phone", "card", "", "")) for _ in range(r.randint(2, 3))]
+            line, whole, alike = "", {}, r.choice((phone, None))
+            same = r.choice(("({0}) {1}-{2}", "{0}-{1}-{2}", "{0}.{1}.{2}", "{0} {1} {2}", "1-{0}-{1}-{2}", "0{0}/{1}{2}", "+1 ({0}) {1}-{2}", "+1-{0}-{1}-{2}"))
+            gap = r.choice((" ", " ", " / ", " - ", "  "))
+            for kind in kinds:
+                line += gap if line else ""
+                item = {"phone": alike or (lambda: same.format(d(3), d(3), d(4))), "card": lambda: card(True), "": other}[kind]()  # noqa: B023
+                if kind:
+                    whole[len(line), len(line) + len(item), kind] = True
+                line += item
+            spans = [x for m in NUMBER.finditer(line) for x in number_spans(line, *m.span()) if x[2] != "ip"]
+            yes, no = [x for x in spans if x in whole], [x for x in spans if x not in whole]
+            y = r.random() < 0.5
+            if yes if y else no:
+                return (line, *r.choice(yes if y else no), y)
+
     xs, ys = [], []
     while len(ys) < n:
+        if r.random() < 0.4:
+            line, s, e, kind, y = beside()
+            lead = r.choice((*HINTS[kind], *AGAINST)) + r.choice((" ", ": ", " is ")) if r.random() < 0.5 else ""
+            text = word() + " " + lead
+            start = len(text) + s
+            text += line + r.choice((" ", ".", ",", "\n", "")) + word()
+            xs.append(features(text, start, start + e - s, kind))
+            ys.append(y)
+            continue
         y = r.random() < 0.5
         if y:
             kind = r.choice(("email", "card", "phone", "ip"))
@@ -250,23 +306,40 @@ def model() -> Boosted:
     return Boosted(*examples())
 
 
+#: Proposals whose features are held at once.
+JUDGED = 4096
+
+
 def all_spans(texts: list[str], trees: Boosted) -> list[tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]]:
     """(base spans, all spans) of each text. An added span overlaps no span of the base or one added with a higher probability."""
     bases = [base_spans(t) for t in texts]
-    asked, x = [], []
+    asked, x, good = [], [], []
+
+    def judge() -> None:
+        for (i, s, e, k), p in zip(asked, trees.probability(np.array(x, float)).tolist() if x else (), strict=True):
+            if p >= trees.thresholds[RANK[k]]:
+                good.append((p, i, s, e, k))
+        asked.clear()
+        x.clear()
+
+    taken: dict[int, bytearray] = {}
     for i, (t, base) in enumerate(zip(texts, bases, strict=True)):
         for s, e, k in proposals(t):
-            if not any(s < b[1] and b[0] < e for b in base):
+            if i not in taken:
+                taken[i] = bytearray(len(t))
+                for b in base:
+                    taken[i][b[0] : b[1]] = b"\1" * (b[1] - b[0])
+            if taken[i].find(1, s, e) < 0:
                 asked.append((i, s, e, k))
                 x.append(features(t, s, e, k))
+                if len(x) == JUDGED:
+                    judge()
+    judge()
     added: dict[int, list[tuple[int, int, str]]] = {}
-    if x:
-        p = trees.probability(np.array(x, float))
-        for j in np.argsort(-p, kind="stable").tolist():
-            i, s, e, k = asked[j]
-            have = added.setdefault(i, [])
-            if p[j] >= trees.thresholds[RANK[k]] and not any(s < b[1] and b[0] < e for b in have):
-                have.append((s, e, k))
+    for _, i, s, e, k in sorted(good, key=lambda g: -g[0]):
+        if taken[i].find(1, s, e) < 0:
+            taken[i][s:e] = b"\1" * (e - s)
+            added.setdefault(i, []).append((s, e, k))
     order = lambda s: (s[0], RANK[s[2]], s[1])
     return [(b, sorted(b + added.get(i, []), key=order)) for i, b in enumerate(bases)]
 

@@ -54,6 +54,41 @@ def test_boosted_trees():
         assert set(base) <= set(spans)
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("212-555-0100 212-555-0199", ["212-555-0100", "212-555-0199"]),
+        ("(555) 123-4567 / (555) 987-6543", ["(555) 123-4567", "(555) 987-6543"]),
+        ("tel 555-123-4567 (555) 987-6543", ["555-123-4567", "(555) 987-6543"]),
+        ("212.555.0100 212.555.0199 212.555.0188", ["212.555.0100", "212.555.0199", "212.555.0188"]),
+        ("2024-05-06 555-123-4567", ["555-123-4567"]),
+        ("call 212-555-0100 5th floor", ["212-555-0100"]),
+        ("ring +1 (826) 555-4081 190.137.223.20", ["+1 (826) 555-4081", "190.137.223.20"]),
+        ("4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]),
+        ("4111 1111 1111 1111 5500 0000 0000 0004", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+        ("2024-05-06 2024-05-07", []),
+        ("12/05/2021 13/05/2021 14/05/2021", []),
+        ("100 200 300 400 500 600 700 800", []),
+    ],
+)
+def test_adjacent_numbers(text, want):
+    assert [text[s:e] for s, e, _ in pii.all_spans([text], pii.model())[0][1]] == want
+
+
+def test_number_spans_cover_every_run_of_groups(monkeypatch):
+    for t in ("212-555-0100 212-555-0199", "+1 (555) 123-4567 / 4111 1111 1111 1111 12/27", "1.2.3.4 5 6 7 8 9 10", "1 " * 60, "1234567 89th", "12345678901234567890 1234567"):
+        for m in pii.NUMBER.finditer(t):
+            groups = [g.span() for g in re.finditer("[0-9]+", t) if m.start() <= g.start() < m.end() and not t[g.end() : g.end() + 1].isalpha()]
+            digits = lambda a, b: len(re.sub("[^0-9]", "", t[a:b]))  # noqa: B023, E731
+            want = {(b, d) for i, (a, _) in enumerate(groups) for _, b in groups[i:] for d in [digits(a, b)] if 7 <= d <= 19}
+            got = list(pii.number_spans(t, *m.span()))
+            assert {(e, digits(s, e)) for s, e, _ in got} == want and len(got) <= 39 * len(groups)
+    texts = ["call 212-555-0100 212-555-0199 or jane(at)mail(dot)org", "", "1 " * 3000, "2024-05-06 555-123-4567"]
+    whole = pii.all_spans(texts, pii.model())
+    monkeypatch.setattr(pii, "JUDGED", 3)
+    assert pii.all_spans(texts, pii.model()) == whole
+
+
 def test_pii_frames(edge, empty):
     got = {(r.doc_id, r.base is not None) for r in pii.found(edge).collect()}
     assert len(got) >= 25 and all(ok for _, ok in got)

@@ -8,13 +8,16 @@ alignments, and the other place's window hits it. Hits are extended to all
 windows of WINDOW words around them, and those found twice are joined to
 maximal exact repeats.
 
-A probe is a hash of 40 bits within its bucket and only selects candidates; the
-windows themselves are compared by 96 bits. The words of a text are what stands
-between the bytes 0x20 and 0x09 to 0x0D.
-
-Nulls: a null text has no words. Texts of fewer than WINDOW words lose nothing.
-Rows of one doc_id are documents of their own. An empty table gives an empty
-result. Other columns are ignored.
+A probe is a hash of 40 bits within its bucket and only selects candidates.
+Equal windows of one group of documents are found by their bytes; windows of
+different groups are compared by the first 128 bits of the SHA-256 of their
+words. The words of a text are what stands between the bytes 0x20 and 0x09 to
+0x0D.
+
+Nulls: a null text has no words. Texts of fewer than WINDOW words lose nothing;
+a long text is one piece of work of its group, in blocks. Rows of one doc_id are
+documents of their own, equal rows too. A group of 2 GB or more raises
+OverflowError. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,23 +34,23 @@ U = C.U
 
 
 class Words:
-    """The words of a group's texts: spans, each text's first word, hashes."""
+    """The words of a group's texts, one space after each: spans, each text's first word, hashes."""
 
     def __init__(self, group: Group):
-        starts, ends, hashes, woff = [], [], [], [np.zeros(1, np.int64)]
-        n = 0
+        data, starts, ends, hashes, woff = [], [], [], [], [np.zeros(1, np.int64)]
+        n = size = 0
         for i, j in C.blocks(group.off):
             low = group.off[i]
-            data = group.data[low : group.off[j]]
-            s, e, w = C.words(data, group.off[i : j + 1] - low)
-            starts.append(s + low)
-            ends.append(e + low)
-            hashes.append(C.word_hashes(data, s, e) if len(s) else np.empty(0, np.uint64))
+            d, s, e, w = C.tidy(group.data[low : group.off[j]], group.off[i : j + 1] - low)
+            data.append(d)
+            starts.append(s + size)
+            ends.append(e + size)
+            hashes.append(C.span_hashes(d, s, e))
             woff.append(w[1:] + n)
             n += len(s)
+            size += len(d)
         join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-        self.starts, self.ends, self.hashes, self.woff = join(starts, np.int64), join(ends, np.int64), join(hashes, np.uint64), np.concatenate(woff)
-        self.p = C.prefix_hashes(self.hashes)
+        self.data, self.starts, self.ends, self.hashes, self.woff = join(data, np.uint8), join(starts, np.int64), join(ends, np.int64), join(hashes, np.uint64), np.concatenate(woff)
 
     def windows(self, k: int, shortest: int) -> np.ndarray:
         """The starts of all runs of k words within a text of `shortest` words or more."""
@@ -56,7 +59,7 @@ class Words:
         return C.ragged(self.woff[:-1], count)
 
     def hash(self, at: np.ndarray, k: int) -> np.ndarray:
-        return C.mix(C.span_hashes(self.p, at, at + k))
+        return C.rolling(self.hashes, k)[at]
 
 
 def keys(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -118,24 +121,21 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return all_[near[all_]]
 
     def entries(w: Words, at: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
-        """Of the windows' distinct hashes, by bucket: bucket, 64 and 32 bits, count; and each window's number among them."""
+        """Of the distinct windows here, by bucket: bucket, a start, count; and each window's number among them."""
         h = w.hash(at, window)
-        more = (C.mix(h ^ C.span_hashes(w.p, at, at + window // 2)) >> U(32)).astype(np.uint32)
-        b = ((h & U(0xFFFFFF)) % U(buckets)).astype(np.int64)
-        order = np.lexsort((more, h, b))
-        b, h, more = b[order], h[order], more[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (more[1:] != more[:-1])
-        number = np.empty(len(h), np.int64)
-        number[order] = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        return b[first], h[first], more[first], np.diff(np.append(first, len(h))), number
+        number, first = C.numbered(w.data, w.starts[at], w.ends[at + window - 1], h)
+        b = ((h[first] & U(0xFFFFFF)) % U(buckets)).astype(np.int64)
+        order = np.argsort(b, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return b[order], at[first[order]], np.bincount(number, minlength=len(first))[order], place[number]
 
     def send_again(group: Group, buckets: int, replies: dict[int, bytes]) -> dict[int, bytes]:
         w = Words(group)
         at = candidates(w, buckets, replies)
-        b, h, more, count, _ = entries(w, at, buckets)
-        out = {k: b"".join((np.int64(j - i).tobytes(), h[i:j].tobytes(), more[i:j].tobytes(), (count[i:j] > 1).tobytes())) for k, i, j in bucket_slices(b)}
+        b, one, count, _ = entries(w, at, buckets)
+        digest = C.digests(w.data, w.starts[one], w.ends[one + window - 1])
+        out = {k: b"".join((np.int64(j - i).tobytes(), digest[i:j].T.tobytes(), (count[i:j] > 1).tobytes())) for k, i, j in bucket_slices(b)}
         breaks = np.flatnonzero(np.diff(at) != 1) + 1
         runs = np.stack((at[np.concatenate(([0], breaks))], np.diff(np.concatenate(([0], breaks, [len(at)]))))) if len(at) else np.empty((2, 0), np.int64)
         out[-1] = runs.astype(np.int64).tobytes()
@@ -143,11 +143,11 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def answer_again(blobs: dict[int, bytes]) -> dict[int, bytes]:
         sizes = [int(np.frombuffer(x, np.int64, 1)[0]) for x in blobs.values()]
-        part = lambda kind, at, width: np.concatenate([np.frombuffer(x, kind, n, 8 + at * n) for x, n in zip(blobs.values(), sizes, strict=True)])
-        h, more, many = part(np.uint64, 0, 8), part(np.uint32, 8, 4), part(bool, 12, 1)
-        order = np.lexsort((more, h))
-        same = (h[order][1:] == h[order][:-1]) & (more[order][1:] == more[order][:-1])
-        again = np.empty(len(h), bool)
+        part = lambda kind, at: np.concatenate([np.frombuffer(x, kind, n, 8 + at * n) for x, n in zip(blobs.values(), sizes, strict=True)])
+        d1, d2, many = part(np.uint64, 0), part(np.uint64, 8), part(bool, 16)
+        order = np.lexsort((d2, d1))
+        same = (d1[order][1:] == d1[order][:-1]) & (d2[order][1:] == d2[order][:-1])
+        again = np.empty(len(d1), bool)
         again[order] = np.append(same, False) | np.insert(same, 0, False)
         again |= many
         cut = np.concatenate(([0], np.cumsum(sizes)))
@@ -157,7 +157,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         w = Words(group)
         runs = np.frombuffer(replies.get(-1, b""), np.int64).reshape(2, -1)
         at = C.ragged(runs[0], runs[1])
-        b, _, _, _, number = entries(w, at, buckets)
+        b, _, _, number = entries(w, at, buckets)
         again = np.zeros(len(b), bool)
         for k, i, j in bucket_slices(b):
             again[i:j] = np.unpackbits(np.frombuffer(replies[k], np.uint8), count=j - i).astype(bool)
@@ -165,11 +165,9 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         kept = np.flatnonzero(~removed)
         doc = C.owners(w.woff)[kept]
         last = np.append(doc[1:] != doc[:-1], True) if len(doc) else np.empty(0, bool)
-        starts, length = w.starts[kept], w.ends[kept] - w.starts[kept]
-        room = length + ~last
-        out = np.full(int(room.sum()), 32, np.uint8)
-        out[C.ragged(np.concatenate(([0], np.cumsum(room)[:-1])) if len(room) else room, length)] = group.data[C.ragged(starts, length)]
-        off = np.concatenate(([0], np.cumsum(np.bincount(doc, room, len(group.off) - 1)))).astype(np.int32)
+        room = w.ends[kept] - w.starts[kept] + ~last  # a word, and the space after it
+        out = w.data[C.ragged(w.starts[kept], room)]
+        off = C.narrow(np.concatenate(([0], np.cumsum(np.bincount(doc, room, len(group.off) - 1)))))
         text = pa.StringArray.from_buffers(len(off) - 1, pa.py_buffer(off), pa.py_buffer(out))
         return pa.table([group.doc_id, pa.array(np.diff(w.woff)), pa.array(C.sums(removed, w.woff)), text], ["doc_id", "n_words", "n_removed", "kept"])
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-#: The tables that stored() has written, in order.
-WRITTEN: list[str] = []
+#: The tables that stored() has written within the scratch() that is open here.
+_tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
 
 #: Bytes of a batch that goes to a Python worker: a few thousand texts, or one longer one.
@@ -17,7 +19,10 @@ BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds what the JVM and each Python worker hold of a partition at once, whatever the length of its texts."""
+    """Bounds what the JVM and each Python worker hold of a partition at once, whatever the length of its texts.
+
+    Spark has this setting for whole sessions only, so it stays set; a smaller one is left as it is.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(name, None) or 1 << 40) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
@@ -29,32 +34,56 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset, as in tests, a temporary folder of this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """spark.checkpoint.dir; where it is unset, a temporary folder if all runs on this machine, and an error on a cluster."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(found)
+        sc.setCheckpointDir(found)
     return found
 
 
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Collects the tables that stored() writes within, in this thread and what it calls, so that they can be released."""
+    tables: list[str] = []
+    before = _tables.set(tables)
+    try:
+        yield tables
+    finally:
+        _tables.reset(before)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: its lineage ends there."""
+    """df written to the shared folder as Parquet and read again: its lineage ends there.
+
+    The table is deleted by release(), or when the driver's JVM ends in good order.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    WRITTEN.append(path)
+    system, place = _file_system(spark, path)
+    system.deleteOnExit(place)
+    tables = _tables.get()
+    if tables is not None:
+        tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Deletes the tables written from the `since`-th on but for the last `keep`; what reads them must be done."""
-    end = len(WRITTEN) - keep
-    for path in WRITTEN[since:end]:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    del WRITTEN[since:end]
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def release(spark: SparkSession, tables: list[str], keep: int = 0) -> None:
+    """Deletes these tables but for the last `keep`; what reads them must be done."""
+    end = len(tables) - keep
+    for path in tables[:end]:
+        system, place = _file_system(spark, path)
+        system.delete(place, True)
+    del tables[:end]
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -8,39 +8,25 @@ longer text is a block of its own.
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK = 2 << 20
 U = np.uint64
-#: Odd base of the prefix polynomials and its inverse modulo 2**64.
-BASE = U(0x9E3779B97F4A7C15)
-INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_rng = np.random.Generator(np.random.PCG64(20240601))
-#: A random 64-bit value for each byte.
-BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 #: The separators of words: space and 0x09 to 0x0D.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n, kept between calls up to a few blocks."""
-    if len(_powers[0]) < n:
-        m = max(n, BLOCK + (BLOCK >> 1))
-        made = []
-        for b in (BASE, INVERSE):
-            x = np.full(m, b, np.uint64)
-            x[0] = 1
-            made.append(np.cumprod(x, dtype=np.uint64))
-        if m > 2 * BLOCK:
-            return made[0], made[1]
-        _powers[:] = made
-    return _powers[0], _powers[1]
+#: Key of the hashes.
+SEED = U(0x5D1B7C2E90A3F864)
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Longer spans are hashed and compared one by one.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,22 +39,102 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hashes(values: np.ndarray) -> np.ndarray:
-    """P with P[i] the sum of values[j] * BASE**j over j < i, modulo 2**64."""
-    p = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values) + 1)[0][: len(values)], dtype=np.uint64, out=p[1:])
-    return p
-
-
-def span_hashes(p: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end], the same wherever the span lies."""
-    return (p[ends] - p[starts]) * powers(len(p))[1][starts]
-
-
-def rolling(p: np.ndarray, k: int) -> np.ndarray:
-    """span_hashes of all spans of k values."""
-    n = len(p) - k
-    return (p[k:] - p[:n]) * powers(len(p))[1][:n] if n > 0 else np.empty(0, np.uint64)
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of what a and b, hashes of two neighbours, stand for."""
+    x = a * U(0x9E3779B97F4A7C15)
+    x += b ^ SEED
+    return mix(x)
+
+
+def rolling(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k values of h, joined by doubling: no polynomial, so no structured texts collide."""
+    out, upto, size, n = None, 0, 1, max(0, len(h) - k + 1)
+    while n:
+        if k & size:
+            out = h if out is None else joined(out[: len(h) - upto], h[upto:])
+            upto += size
+        if upto == k:
+            return out[:n]
+        h = joined(h[:-size], h[size:])
+        size *= 2
+    return np.empty(0, np.uint64)
+
+
+def grams(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on as a number, zeros after the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A keyed 64-bit hash of each data[start:end]: 8 bytes at a time, longer ones than LONG by XXH3."""
+    size = ends - starts
+    h = mix(size.astype(np.uint64) ^ SEED)
+    if not len(h):
+        return h
+    g = grams(data)
+    live, at, left = slice(None), starts, np.minimum(size, LONG)
+    while len(at):
+        h[live] = mix(h[live] ^ (g[at] & FIRST[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        live = more if isinstance(live, slice) else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    far = np.flatnonzero(size > LONG)
+    if len(far):
+        raw = memoryview(data)
+        h[far] = [xxhash.xxh3_64_intdigest(raw[a:b], seed=int(SEED)) for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
+    return h
+
+
+def equal_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether data[start:end] holds the same bytes as data[other:other_end]."""
+    size = ends - starts
+    same = size == other_ends - others
+    live = np.flatnonzero(same & (size > 0) & (starts != others))
+    if not len(live):
+        return same
+    g = grams(data)
+    for i in live[size[live] > LONG].tolist():
+        same[i] = data[starts[i] : ends[i]].tobytes() == data[others[i] : other_ends[i]].tobytes()
+    live = live[size[live] <= LONG]
+    a, b, left = starts[live], others[live], size[live]
+    while len(live):
+        alike = ((g[a] ^ g[b]) & FIRST[np.minimum(left, 8)]) == 0
+        same[live[~alike]] = False
+        on = np.flatnonzero(alike & (left > 8))
+        live, a, b, left = live[on], a[on] + 8, b[on] + 8, left[on] - 8
+    return same
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(number, first): equal spans, and only those, have the same number; first: one span of each number.
+
+    Spans meet by hash and are then compared by their bytes; where a hash holds
+    several kinds, they are told apart by the bytes themselves.
+    """
+    h = span_hashes(data, starts, ends) if h is None else h
+    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    odd = np.flatnonzero(~equal_spans(data, starts, ends, starts[first][number], ends[first][number]))
+    if len(odd):
+        kinds: dict[bytes, int] = {}
+        found = [kinds.setdefault(data[starts[i] : ends[i]].tobytes(), len(kinds)) for i in odd.tolist()]
+        number[odd] = len(first) + np.array(found)
+        first = np.concatenate((first, odd[np.unique(found, return_index=True)[1]]))
+    return number, first
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(n, 2) numbers: the first 128 bits of each span's SHA-256."""
+    raw = memoryview(np.ascontiguousarray(data))
+    made = b"".join([sha256(raw[a:b]).digest()[:16] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(made, "<u8").reshape(-1, 2) if made else np.empty((0, 2), np.uint64)
+
+
+def narrow(off: np.ndarray) -> np.ndarray:
+    """Arrow's 32-bit offsets; an error where they don't hold them."""
+    if len(off) and off[-1] >= 1 << 31:
+        raise OverflowError("the texts of one group take 2 GB or more")
+    return off.astype(np.int32)
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,10 +177,15 @@ def words(data: np.ndarray, off: np.ndarray, separator: np.ndarray = SEPARATOR)
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A mixed 64-bit hash of each word; its length takes part."""
-    p = prefix_hashes(BYTE[data])
-    return mix(span_hashes(p, starts, ends) + (ends - starts).astype(np.uint64))
+def tidy(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(data, starts, ends, woff) of the texts' words with one space after each: a run of words is one span."""
+    starts, ends, woff = words(data, off)
+    size = ends - starts
+    inside = ~SEPARATOR[data]
+    out = np.full(int(size.sum()) + len(size), 32, np.uint8)
+    out[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = data[inside]
+    begin = np.cumsum(size + 1) - size - 1
+    return out, begin, begin + size, woff
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -52,7 +52,7 @@ def word_tokens(path: str) -> WordTokens:
 
 
 class WordTokens:
-    """Token ids of words, by the words' hashes; each distinct word is tokenised once."""
+    """Token ids of words; each distinct word is tokenised once."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -63,27 +63,24 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.starts, self.lengths, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
-    def slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """For distinct words, given by spans and hashes, their slots."""
-        keys = hashes.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.slot]
+    def slots(self, keys: list[bytes]) -> np.ndarray:
+        """The slots of distinct words."""
+        new = [k for k in keys if k not in self.slot]
         if new:
             if len(self.slot) + len(new) > CACHE_WORDS and self.slot:
                 self.clear()
-                new = list(range(len(keys)))
-            raw = data.tobytes() if len(new) > 64 else data
-            texts = [bytes(raw[starts[i] : ends[i]]).decode("utf-8", "replace") for i in new]
-            made = self.model.encode(texts, num_threads=1)
+                new = keys
+            made = self.model.encode([k.decode("utf-8", "replace") for k in new], num_threads=1)
             lengths = np.fromiter(map(len, made), np.int64, len(made))
             base, slot = len(self.ids), len(self.lengths)
             self.starts = np.concatenate((self.starts, base + np.concatenate(([0], np.cumsum(lengths)[:-1]))))
             self.lengths = np.concatenate((self.lengths, lengths))
             self.ids = np.concatenate((self.ids, np.fromiter((t for x in made for t in x), np.int32, int(lengths.sum()))))
-            self.slot.update((keys[i], slot + j) for j, i in enumerate(new))
-        return np.fromiter((self.slot[h] for h in keys), np.int64, len(keys))
+            self.slot.update((k, slot + j) for j, k in enumerate(new))
+        return np.fromiter((self.slot[k] for k in keys), np.int64, len(keys))
 
 
 def counts(data: np.ndarray, off: np.ndarray, tokens: WordTokens) -> dict[str, np.ndarray]:
@@ -93,13 +90,13 @@ def counts(data: np.ndarray, off: np.ndarray, tokens: WordTokens) -> dict[str, n
     n_words = np.diff(woff)
     doc = C.owners(woff)
     letters = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    hashes = C.word_hashes(data, starts, ends) if len(starts) else np.empty(0, np.uint64)
+    number, first = C.numbered(data, starts, ends)
     out = {"n_words": n_words, "word_chars": np.bincount(doc, letters[ends] - letters[starts], n).astype(np.int64) if len(doc) else np.zeros(n, np.int64), "n_symbols": C.sums(SYMBOLS[data], off)}
     out["n_dup_lines"] = duplicate_lines(data, off, starts)
-    out["n_repeat_words"] = repeated_words(hashes, woff)
+    out["n_repeat_words"] = repeated_words(number, woff)
     if len(starts):
-        distinct, first, each = np.unique(hashes, return_index=True, return_inverse=True)
-        slot = tokens.slots(data, starts[first], ends[first], distinct)[each]
+        raw = data.tobytes()
+        slot = tokens.slots([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])[number]
         lengths = tokens.lengths[slot]
         ids = tokens.ids[C.ragged(tokens.starts[slot], lengths)]
         owner = np.repeat(doc, lengths)
@@ -130,26 +127,31 @@ def duplicate_lines(data: np.ndarray, off: np.ndarray, word_starts: np.ndarray)
     if not len(starts):
         return np.zeros(n, np.int64)
     doc = np.searchsorted(off, starts, "right") - 1
-    h = C.word_hashes(data, starts, ends)
+    h, _ = C.numbered(data, starts, ends)
     order = np.lexsort((h, doc))
     same = (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     return np.bincount(doc[order][1:][same], minlength=n)
 
 
-def repeated_words(hashes: np.ndarray, woff: np.ndarray, k: int = 3) -> np.ndarray:
-    """By text: words in windows of k words that the text holds twice or more."""
-    n, m = len(woff) - 1, len(hashes)
+def repeated_words(number: np.ndarray, woff: np.ndarray, k: int = 3) -> np.ndarray:
+    """By text: words in windows of k words that the text holds twice or more; equal words have equal numbers."""
+    n, m = len(woff) - 1, len(number)
     if m < k:
         return np.zeros(n, np.int64)
     doc = C.owners(woff)
     at = np.flatnonzero(doc[: m - k + 1] == doc[k - 1 :])
-    h = np.zeros(len(at), np.uint64)
+    h = C.mix(doc[at].astype(np.uint64) ^ C.SEED)
     for j in range(k):
-        h = C.mix(h + hashes[at + j])
-    h = C.mix(h + doc[at].astype(np.uint64))
+        h = C.mix(h ^ number[at + j].astype(np.uint64))
     order = np.argsort(h)
-    s = h[order]
-    same = s[1:] == s[:-1]
+    one, other = at[order][1:], at[order][:-1]
+    same, met = (doc[one] == doc[other]), h[order][1:] == h[order][:-1]
+    for j in range(k):
+        same &= number[one + j] == number[other + j]
+    if (met & ~same).any():  # a collision: by the numbers themselves
+        order = np.lexsort((*(number[at + j] for j in range(k)), doc[at]))
+        one, other = at[order][1:], at[order][:-1]
+        same = (doc[one] == doc[other]) & np.all([number[one + j] == number[other + j] for j in range(k)], 0)
     again = np.zeros(len(at), bool)
     again[order] = np.append(same, False) | np.insert(same, 0, False)
     return C.sums(C.cover(at[again], k, m), woff)

@@ -7,22 +7,26 @@ The suffix array is cut by minimisers. Of the K-byte strings of a window of
 LENGTH bytes, the one with the smallest hash is the window's anchor; equal
 windows have equal anchors at equal offsets, so suffixes are compared only
 within an anchor and an offset, and the windows of one anchor in one place are
-one slice of text. In the first round slices meet by anchor: a slice that
-stands elsewhere unchanged is a copy of the earliest one, an anchor with one
-kind of slice needs nothing more. In the second, the slices of anchors with
-several kinds meet with their bytes, and their suffixes are sorted by a merge
-sort. Its comparisons find the common extension of two suffixes by binary
-search over prefix polynomial hashes, so each takes a logarithmic number of
-steps; neighbours with LENGTH bytes in common are checked byte by byte and all
-but the earliest of such a run are removed.
-
-An anchor that more than HOT groups hold in several kinds (the edges of a
-passage that very many documents share) is dealt out window by window, by 128
-bits of the windows themselves, so that no bucket has all of its slices.
+one slice of text. In the first round slices meet by anchor and the first 128
+bits of their SHA-256: a slice that stands elsewhere unchanged is a copy of the
+earliest one, an anchor with one kind of slice needs nothing more. In the
+second, the slices of anchors with several kinds meet with their bytes, and
+their suffixes are sorted by a merge sort. Its comparisons find the common
+extension of two suffixes by binary search over prefix polynomial hashes modulo
+2**61 - 1, so each takes a logarithmic number of steps. The order is then
+verified byte by byte, neighbour by neighbour; where a collision has spoilt it,
+the class is sorted anew by its bytes. All but the earliest of a run of equal
+suffixes are removed.
+
+An anchor with more than HOT kinds of slices (the edges of a passage that very
+many documents share) is dealt out window by window: each goes, with its bytes,
+to the bucket of its own hash, and is sorted and verified there like the rest.
 
 Nulls: a null text has no bytes; a null doc_id comes before all others. Rows of
-one doc_id are taken in the order of their texts. Texts shorter than LENGTH
-lose nothing. An empty table gives an empty result. Other columns are ignored.
+one doc_id are taken in the order of a hash of their texts. Texts shorter than
+LENGTH lose nothing; a long text is one piece of work of its group, in blocks.
+A group of 2 GB or more raises OverflowError. An empty table gives an empty
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,31 +39,46 @@ from tessera.llm import common as C
 from tessera.llm.meeting import Group, bucket_slices, two_rounds
 
 LENGTH = 100
+#: Bytes of an anchor: 8 times a power of two.
 K = 32
-#: Groups that hold an anchor in several kinds before its windows are dealt out singly.
-HOT = 256
+#: Kinds of slices of an anchor before its windows are dealt out singly: about half a megabyte.
+HOT = 4096
 #: Bytes of slices that are sorted at once.
 PART = 1 << 19
 U = C.U
 LOW = U(0xFFFFFFFF)
-
-ENTRY = np.dtype([("h", "<u8"), ("digest", "<u8"), ("doc", "<i8"), ("several", "?")])
-PIECE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("offset", "<i4"), ("n", "<i4")])
-SINGLE = np.dtype([("h", "<u8"), ("more", "<u8"), ("doc", "<i8")])
+#: The prime of the prefix polynomials, their base, and a number for each byte.
+PRIME = U((1 << 61) - 1)
+_rng = np.random.Generator(np.random.PCG64(20240601))
+BASE = int(_rng.integers(1 << 40, 1 << 60))
+BYTE = _rng.integers(1, (1 << 61) - 1, 256, dtype=np.uint64)
+
+ENTRY = np.dtype([("h", "<u8"), ("d1", "<u8"), ("d2", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("kinds", "<u4")])
+PIECE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("at", "<i8"), ("offset", "<i4"), ("n", "<i4")])
 OWN, COPY, SORT, SORT_SINGLY = 0, 1, 2, 3
 
 
+def byte_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k-byte strings, k being 8 times a power of two."""
+    if len(data) < k:
+        return np.empty(0, np.uint64)
+    h, size = C.grams(data)[: len(data) - 7], 8
+    while size < k:
+        h = C.joined(h[:-size], h[size:])
+        size *= 2
+    return h
+
+
 def slices(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """(first, n, anchor, h, digest): windows first..first+n-1 have the anchor at `anchor`; digest is of all their bytes."""
-    parts = [[], [], [], [], []]
+    """(first, n, anchor, h, d1, d2): windows first..first+n-1 have the anchor at `anchor`, h is its hash; d1 and d2 are of all their bytes."""
+    found = [[], [], [], [], [], []]
     wide = length - k + 1
     for i, j in C.blocks(off, C.BLOCK // 2):
         low = off[i]
         d = data[low : off[j]]
         if len(d) < length:
             continue
-        p = C.prefix_hashes(C.BYTE[d])
-        h = C.mix(C.rolling(p, k))
+        h = byte_hashes(d, k)
         m = h & ~LOW | np.arange(len(h), dtype=np.uint64)
         span = 1
         while 2 * span <= wide:
@@ -76,11 +95,47 @@ def slices(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = K)
         new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
         cut = np.flatnonzero(new)
         first, n, anchor = at[cut], np.diff(np.append(cut, len(at))), anchor[cut]
-        digest = C.mix(C.span_hashes(p, first, first + n + length - 1) + (anchor - first).astype(np.uint64) * U(0x9E3779B97F4A7C15) + n.astype(np.uint64))
-        for x, y in zip(parts, (first + low, n, anchor + low, h[anchor], digest), strict=True):
+        digest = C.digests(d, first, first + n + length - 1)
+        for x, y in zip(found, (first + low, n, anchor + low, h[anchor], digest[:, 0], digest[:, 1]), strict=True):
             x.append(y)
-    kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
-    return tuple(np.concatenate(x) if x else np.empty(0, t) for x, t in zip(parts, kinds, strict=True))
+    kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64)
+    return tuple(np.concatenate(x) if x else np.empty(0, t) for x, t in zip(found, kinds, strict=True))
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of numbers below it, by halves of 31 bits."""
+    a1, a0, b1, b0 = a >> U(31), a & U(0x7FFFFFFF), b >> U(31), b & U(0x7FFFFFFF)
+    mid = a1 * b0 + a0 * b1
+    return reduced((a1 * b1 << U(1)) + (mid >> U(30)) + ((mid & U(0x3FFFFFFF)) << U(31)) + a0 * b0)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> U(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(a >= b, a - b, a + PRIME - b)
+
+
+def powers(n: int) -> np.ndarray:
+    """BASE**i modulo PRIME for i < n."""
+    out = np.ones(max(n, 1), np.uint64)
+    done = 1
+    while done < n:
+        step = U(pow(BASE, done, int(PRIME)))
+        out[done : 2 * done] = times(out[: min(done, n - done)], step)
+        done *= 2
+    return out
+
+
+def prefix_hashes(values: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """P with P[i] the sum of values[j] * BASE**j over j < i, modulo PRIME."""
+    terms = times(values, power[: len(values)])
+    high, low = np.cumsum(terms >> U(31), dtype=np.uint64), np.cumsum(terms & U(0x7FFFFFFF), dtype=np.uint64)
+    out = np.zeros(len(values) + 1, np.uint64)
+    out[1:] = reduced((high >> U(30)) + ((high & U(0x3FFFFFFF)) << U(31)) + reduced(low))
+    return out
 
 
 def planes(records: np.ndarray) -> bytes:
@@ -97,19 +152,25 @@ class SuffixOrder:
 
     def __init__(self, data: np.ndarray, length: int):
         self.data, self.length = data, length
-        self.p, self.inverse = C.prefix_hashes(C.BYTE[data]), C.powers(len(data) + 1)[1]
+        self.power = powers(len(data) + 1)
+        self.p = prefix_hashes(BYTE[data], self.power)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of the suffixes a[i] and b[i], by binary search."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.length, np.int64)
-        ia, ib, pa_, pb = self.inverse[a], self.inverse[b], self.p[a], self.p[b]
-        while True:
-            open_ = low < high
-            if not open_.any():
-                return low
+        out = np.zeros(len(a), np.int64)
+        live = np.arange(len(a))
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        shift, pa_, pb = self.power[b - a], self.p[a], self.p[b]
+        low, high = out.copy(), np.full(len(a), self.length, np.int64)
+        while len(live):
             mid = (low + high + 1) >> 1
-            same = (self.p[a + mid] - pa_) * ia == (self.p[b + mid] - pb) * ib
-            low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
+            same = times(minus(self.p[a + mid], pa_), shift) == minus(self.p[b + mid], pb)
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+            on = np.flatnonzero(low < high)
+            if len(on) < len(live):
+                out[live] = low
+                live, a, b, shift, pa_, pb, low, high = (x[on] for x in (live, a, b, shift, pa_, pb, low, high))
+        return out
 
     def before(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         """Whether suffix a[i] sorts before b[i]; equal ones do where or_equal."""
@@ -151,13 +212,40 @@ class SuffixOrder:
             width *= 2
         return order
 
-    def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether `length` bytes are the same, by hash and then byte by byte."""
-        same = self.common(a, b) == self.length
-        for part in np.array_split(np.flatnonzero(same), max(1, len(a) // 20_000)):
-            span = np.arange(self.length)
-            same[part] = (self.data[a[part, None] + span] == self.data[b[part, None] + span]).all(1)
-        return same
+    def words(self) -> np.ndarray:
+        """The 8 bytes from each place on, as numbers that sort as the bytes do."""
+        return C.grams(self.data)
+
+    def checked(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether suffix a[i] is equal to b[i], and whether it is after b[i], by their bytes."""
+        g, live = self.words(), np.arange(len(a))
+        equal, after = np.ones(len(a), bool), np.zeros(len(a), bool)
+        for at in (*range(0, self.length - 7, 8), *([max(self.length - 8, 0)] if self.length % 8 else [])):
+            mask = C.FIRST[min(self.length, 8)]
+            x, y = (g[a[live] + at] & mask).byteswap(), (g[b[live] + at] & mask).byteswap()
+            equal[live[x != y]] = False
+            after[live[x > y]] = True
+            live = live[x == y]
+        return equal, after
+
+    def sorted(self, suffix: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order, same): the merge sort's order, verified, and whether a suffix equals the one before it in its class."""
+        order = self.merge_sort(suffix, cut)
+        cls = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+        near = np.flatnonzero(cls[1:] == cls[:-1])
+        while True:
+            s = suffix[order]
+            equal, after = self.checked(s[near], s[near + 1])
+            if not after.any():
+                break
+            for k in np.unique(cls[near[after]]).tolist():  # a collision: this class by its bytes
+                own = np.arange(cut[k], cut[k + 1])
+                g, mask = self.words(), C.FIRST[min(self.length, 8)]
+                places = [*range(0, self.length - 7, 8), max(self.length - 8, 0)]
+                order[own] = own[np.lexsort([(g[suffix[own] + p] & mask).byteswap() for p in reversed(places)])]
+        same = np.zeros(len(suffix), bool)
+        same[near + 1] = equal
+        return order, same
 
 
 def later(pieces: np.ndarray, data: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -198,14 +286,9 @@ def _later(pieces: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
     some = by[~(alone[:-1] & alone[1:])]
     if not len(some):
         return out
-    some = some[np.lexsort((pieces["at"][own[some]] + step[some], pieces["doc"][own[some]], cls[some]))]
-    cut = np.concatenate(([0], np.flatnonzero(np.diff(cls[some])) + 1, [len(some)])) if (cls[some][1:] != cls[some][:-1]).any() else np.array([0, len(some)])
-    sort = SuffixOrder(data, length)
-    order = sort.merge_sort(suffix[some], cut)
-    s, c = suffix[some][order], cls[some][order]
-    near = np.flatnonzero(c[1:] == c[:-1])
-    same = np.zeros(len(s), bool)
-    same[near + 1] = sort.equal(s[near], s[near + 1])
+    some = some[np.lexsort((pieces["at"][own[some]] + step[some], pieces["tie"][own[some]], pieces["doc"][own[some]], cls[some]))]
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(cls[some])) + 1, [len(some)]))
+    order, same = SuffixOrder(data, length).sorted(suffix[some], cut)
     out[some[order][same]] = True
     return out
 
@@ -215,26 +298,27 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def local(group: Group) -> tuple[np.ndarray, ...]:
         """slices, and of them: an order by anchor, digest and place; which are local copies, and the first of each kind."""
-        first, n, anchor, h, digest = slices(group.data, group.off, length)
-        order = np.lexsort((first, digest, h))
-        ho, do = h[order], digest[order]
+        first, n, anchor, h, d1, d2 = slices(group.data, group.off, length)
+        order = np.lexsort((first, d2, d1, h))
+        ho = h[order]
         new_h = np.ones(len(order), bool)
         new_h[1:] = ho[1:] != ho[:-1]
         new = new_h.copy()
-        new[1:] |= do[1:] != do[:-1]
+        new[1:] |= (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1])
         copies = order[~new]
         lead = order[new]  # by anchor
         which = np.cumsum(new_h[new]) - 1 if len(order) else np.empty(0, np.int64)
-        return first, n, anchor, h, digest, copies, lead, which
+        return first, n, anchor, h, d1, d2, copies, lead, which
 
     def entries(group: Group, buckets: int):
         found = local(group)
-        first, _, _, h, digest, _, lead, which = found
+        first, _, _, h, d1, d2, _, lead, which = found
         starts = np.flatnonzero(np.diff(which, prepend=-1))
         e = np.zeros(len(starts), ENTRY)
         one = lead[starts]
-        e["h"], e["digest"], e["several"] = h[one], digest[one], np.diff(np.append(starts, len(lead))) > 1
-        e["doc"] = group.ids[np.searchsorted(group.off, first[one], "right") - 1]
+        e["h"], e["d1"], e["d2"], e["kinds"] = h[one], d1[one], d2[one], np.diff(np.append(starts, len(lead)))
+        doc = np.searchsorted(group.off, first[one], "right") - 1
+        e["doc"], e["tie"] = group.ids[doc], group.ties[doc]
         b = (e["h"] % U(buckets)).astype(np.int64)
         order = np.argsort(b, kind="stable")
         return found, e[order], b[order], order
@@ -245,94 +329,74 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def answer(blobs: dict[int, bytes]) -> dict[int, bytes]:
         e = np.concatenate([unplaned(x, ENTRY) for x in blobs.values()])
-        order = np.lexsort((e["doc"], e["several"], e["digest"], e["h"]))
-        s = e[order]
+        several = e["kinds"] > 1
+        order = np.lexsort((e["tie"], e["doc"], several, e["d2"], e["d1"], e["h"]))
+        s, of_several = e[order], several[order]
         new_h = np.ones(len(s), bool)
         new_h[1:] = s["h"][1:] != s["h"][:-1]
         # kinds: digests among the entries with one; any entry with several makes the anchor one with several kinds
         new = new_h.copy()
-        new[1:] |= (s["digest"][1:] != s["digest"][:-1]) | (s["several"][1:] != s["several"][:-1])
+        new[1:] |= (s["d1"][1:] != s["d1"][:-1]) | (s["d2"][1:] != s["d2"][:-1]) | (of_several[1:] != of_several[:-1])
         cut = np.flatnonzero(new_h)
-        several = np.logical_or.reduceat(s["several"], cut) | (np.add.reduceat(new.astype(np.int64), cut) > 1)
-        many = np.diff(np.append(cut, len(s))) > HOT
+        kinds = np.add.reduceat(np.where(new | of_several, s["kinds"], 0).astype(np.int64), cut)
         each = np.cumsum(new_h) - 1
-        code = np.where(several[each], np.where(many[each], SORT_SINGLY, SORT), OWN)
-        code[~new & ~s["several"]] = COPY
+        code = np.where((np.logical_or.reduceat(of_several, cut) | (kinds > 1))[each], np.where((kinds > HOT)[each], SORT_SINGLY, SORT), OWN)
+        code[~new & ~of_several] = COPY
         out = np.empty(len(e), np.uint8)
         out[order] = code
         at = np.concatenate(([0], np.cumsum([len(x) // ENTRY.itemsize for x in blobs.values()])))
         return {g: out[at[i] : at[i + 1]].tobytes() for i, g in enumerate(blobs)}
 
     def send_again(group: Group, buckets: int, replies: dict[int, bytes]) -> dict[int, bytes]:
-        (first, n, anchor, h, _, copies, lead, which), e, b, order = entries(group, buckets)
+        (first, n, anchor, h, _, _, copies, lead, which), e, b, order = entries(group, buckets)
         code = np.empty(len(e), np.uint8)
         for k, i, j in bucket_slices(b):
             code[order[i:j]] = np.frombuffer(replies[k], np.uint8)
         of = code[which] if len(lead) else np.empty(0, np.uint8)
         gone = np.concatenate((copies, lead[of == COPY]))
         together, singly = lead[of == SORT], lead[of == SORT_SINGLY]
-        at, count, key, offset = first[together], n[together], h[together], anchor[together] - first[together]
         # of equal windows here, the earliest goes on
         w = np.sort(C.ragged(first[singly], n[singly]))
         wh = window_hashes(group.data, w, length)
-        more = C.mix(wh ^ window_hashes(group.data, w, length // 2))
-        by = np.lexsort((w, more, wh))
-        again = np.zeros(len(w), bool)
-        again[by[1:]] = (wh[by][1:] == wh[by][:-1]) & (more[by][1:] == more[by][:-1])
-        gone_w, by = w[again], by[~again[by]]
-        b = (key % U(buckets)).astype(np.int64)
+        number, one = C.numbered(group.data, w, w + length, wh)
+        again = one[number] != np.arange(len(w))
+        gone_w, w, wh = w[again], w[~again], wh[~again]
+        pieces = np.zeros(len(together) + len(w), PIECE)
+        pieces["key"] = np.concatenate((h[together], wh))
+        pieces["at"] = np.concatenate((first[together], w))
+        pieces["offset"] = np.concatenate((anchor[together] - first[together], np.zeros(len(w), np.int64)))
+        pieces["n"] = np.concatenate((n[together], np.ones(len(w), np.int64)))
+        b = (pieces["key"] % U(buckets)).astype(np.int64)
         order = np.argsort(b, kind="stable")
-        at, count, key, offset, b = at[order], count[order], key[order], offset[order], b[order]
-        owner = lambda x: group.ids[np.searchsorted(group.off, x, "right") - 1]
-        pieces = np.zeros(len(at), PIECE)
-        pieces["key"], pieces["at"], pieces["offset"], pieces["n"], pieces["doc"] = key, at, offset, count, owner(at)
-        bs = (wh[by] % U(buckets)).astype(np.int64)
-        order = np.argsort(bs, kind="stable")
-        by, bs = by[order], bs[order]
-        singles = np.zeros(len(by), SINGLE)
-        singles["h"], singles["more"], singles["doc"] = wh[by], more[by], owner(w[by])
-        out = {}
-        of_pieces, of_singles = ({k: (i, j) for k, i, j in bucket_slices(x)} for x in (b, bs))
-        for k in {*of_pieces, *of_singles}:
-            i, j = of_pieces.get(k, (0, 0))
-            p, q = of_singles.get(k, (0, 0))
-            text = group.data[C.ragged(at[i:j], count[i:j] + length - 1)]
-            out[k] = b"".join((np.array([j - i, q - p], np.int64).tobytes(), pieces[i:j].tobytes(), planes(singles[p:q]), text.tobytes()))
-        state = (np.concatenate((first[gone], gone_w)), np.concatenate((n[gone], np.ones(len(gone_w), np.int64))), at, count, b, w[by], bs)
-        out[-1] = b"".join((np.array([len(state[0]), len(at), len(by)], np.int64).tobytes(), *(x.astype(np.int64).tobytes() for x in state)))
+        pieces, b = pieces[order], b[order]
+        doc = np.searchsorted(group.off, pieces["at"], "right") - 1
+        pieces["doc"], pieces["tie"] = group.ids[doc], group.ties[doc]
+        at, count = pieces["at"], pieces["n"].astype(np.int64)
+        out = {k: b"".join((np.int64(j - i).tobytes(), planes(pieces[i:j]), group.data[C.ragged(at[i:j], count[i:j] + length - 1)].tobytes())) for k, i, j in bucket_slices(b)}
+        state = (np.concatenate((first[gone], gone_w)), np.concatenate((n[gone], np.ones(len(gone_w), np.int64))), at, count, b)
+        out[-1] = b"".join((np.array([len(state[0]), len(at)], np.int64).tobytes(), *(x.astype(np.int64).tobytes() for x in state)))
         return out
 
     def answer_again(blobs: dict[int, bytes]) -> dict[int, bytes]:
-        pieces, texts, singles, windows = [], [], [], []
+        pieces, texts = [], []
         for x in blobs.values():
-            k, m = np.frombuffer(x, np.int64, 2).tolist()
-            middle = 16 + k * PIECE.itemsize
-            end = middle + m * SINGLE.itemsize
-            pieces.append(np.frombuffer(x, PIECE, k, 16))
-            singles.append(unplaned(x[middle:end], SINGLE) if m else np.empty(0, SINGLE))
-            texts.append(np.frombuffer(x, np.uint8, -1, end) if end < len(x) else np.empty(0, np.uint8))
-            windows.append((int(pieces[-1]["n"].sum()), m))
+            end = 8 + int(np.frombuffer(x, np.int64, 1)[0]) * PIECE.itemsize
+            pieces.append(unplaned(x[8:end], PIECE))
+            texts.append(np.frombuffer(x, np.uint8, -1, end))
         out = later(np.concatenate(pieces), np.concatenate(texts), length)
-        s = np.concatenate(singles)
-        order = np.lexsort((s["doc"], s["more"], s["h"]))
-        again = np.zeros(len(s), bool)
-        again[order[1:]] = (s["h"][order][1:] == s["h"][order][:-1]) & (s["more"][order][1:] == s["more"][order][:-1])
-        at = np.concatenate((np.zeros((1, 2), np.int64), np.cumsum(np.array(windows, np.int64).reshape(-1, 2), 0)))
-        return {g: np.packbits(np.concatenate((out[at[i, 0] : at[i + 1, 0]], again[at[i, 1] : at[i + 1, 1]]))).tobytes() for i, g in enumerate(blobs)}
+        at = np.concatenate(([0], np.cumsum([int(p["n"].sum()) for p in pieces])))
+        return {g: np.packbits(out[at[i] : at[i + 1]]).tobytes() for i, g in enumerate(blobs)}
 
     def finish(group: Group, buckets: int, replies: dict[int, bytes]) -> pa.Table:
         size, docs_ = len(group.data), len(group.off) - 1
         state = np.frombuffer(replies.get(-1, b""), np.int64)
         windows = [np.empty(0, np.int64)]
         if len(state):
-            k, m, r = state[:3].tolist()
-            first, n, at, count, b, single, bs = np.split(state[3:], np.cumsum([k, k, m, m, m, r]))
+            k, m = state[:2].tolist()
+            first, n, at, count, b = np.split(state[2:], np.cumsum([k, k, m, m]))
             windows.append(C.ragged(first, n))
-            of_pieces, of_singles = ({x: (i, j) for x, i, j in bucket_slices(y)} for y in (b, bs))
-            for x in {*of_pieces, *of_singles}:
-                i, j = of_pieces.get(x, (0, 0))
-                p, q = of_singles.get(x, (0, 0))
-                w = np.concatenate((C.ragged(at[i:j], count[i:j]), single[p:q]))
+            for x, i, j in bucket_slices(b):
+                w = C.ragged(at[i:j], count[i:j])
                 windows.append(w[np.unpackbits(np.frombuffer(replies[x], np.uint8), count=len(w)).astype(bool)])
         removed = C.cover(np.concatenate(windows), length, size)
         edge = np.zeros(size + 1, bool)
@@ -340,8 +404,8 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         start = np.flatnonzero(removed & (~np.append(False, removed[:-1]) | edge[:-1]))
         end = np.flatnonzero(removed & (~np.append(removed[1:], False) | edge[1:])) + 1
         doc = np.searchsorted(group.off, start, "right") - 1
-        runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(docs_ + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(start - group.off[doc]), pa.array(end - group.off[doc])], ["start", "end"]))
-        off = np.concatenate(([0], np.cumsum(C.sums(~removed, group.off)))).astype(np.int32)
+        runs = pa.ListArray.from_arrays(pa.array(C.narrow(np.searchsorted(doc, np.arange(docs_ + 1)))), pa.StructArray.from_arrays([pa.array(start - group.off[doc]), pa.array(end - group.off[doc])], ["start", "end"]))
+        off = C.narrow(np.concatenate(([0], np.cumsum(C.sums(~removed, group.off)))))
         kept = pa.BinaryArray.from_buffers(pa.binary(), docs_, [None, pa.py_buffer(off), pa.py_buffer(group.data[~removed].copy())])
         return pa.table([group.doc_id, pa.array(np.diff(group.off)), runs, kept], ["doc_id", "n_bytes", "removed", "kept"])
 
@@ -349,15 +413,16 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def window_hashes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of data[at:at+length]; at ascends."""
-    if not len(at):
-        return np.empty(0, np.uint64)
+    """Hashes of data[at:at+length], by doubling; at ascends."""
     out = np.empty(len(at), np.uint64)
+    size = 8
+    while 2 * size <= length:
+        size *= 2
     i = 0
     while i < len(at):
         j = max(i + 1, int(np.searchsorted(at, at[i] + C.BLOCK)))
         low = at[i]
-        p = C.prefix_hashes(C.BYTE[data[low : at[j - 1] + length]])
-        out[i:j] = C.mix(C.span_hashes(p, at[i:j] - low, at[i:j] - low + length))
+        h = byte_hashes(data[low : at[j - 1] + length], size)
+        out[i:j] = C.joined(h[at[i:j] - low], h[at[i:j] - low + length - size])
         i = j
     return out

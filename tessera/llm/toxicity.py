@@ -43,7 +43,7 @@ def grams(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
     starts, ends, woff = C.words(lower, off, OUTSIDE)
     if not len(starts):
         return
-    h, doc = C.word_hashes(lower, starts, ends), C.owners(woff)
+    h, doc = C.span_hashes(lower, starts, ends), C.owners(woff)
     fold = lambda x: (C.mix(x) >> C.U(64 - BITS)).astype(np.int64)
     yield doc, fold(h)
     chain = h

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import lshforest, mixing, packing, pii, toxicity
-from tessera.llm.cluster import WRITTEN, release, stored
+from tessera.llm.cluster import release, scratch, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, for the whole table of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    since = len(WRITTEN)
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs)
-            release(spark, since, keep=1)  # the stage's scratch tables, and its input
+    with scratch() as tables:
+        for i, (_, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if i < len(STAGES) - 1:
+                docs = stored(docs)
+                release(spark, tables, keep=1)  # the stage's scratch tables, and its input
     return docs

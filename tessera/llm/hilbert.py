@@ -8,10 +8,14 @@ and a salt of the key, give where each (cell, salt) starts, and only rows of
 one (cell, salt) are numbered together. A cell with a third of all rows is thus
 dealt over `SALTS` tasks. The counts by cell are at most 2**(bits * dimensions).
 
+The texts are read once: what is ranked is a narrow table in the shared folder,
+written by a job of its own.
+
 Only DataFrame functions run here. Nulls: a null text has 0 bytes, a null
-dimension is a value of its own, a null key is one key. Ties in the key are
-told apart by the CRC of the text; equal rows are interchangeable. An empty
-table gives an empty result. Other columns are ignored.
+dimension is a value of its own, rows of one key or of none are dealt out by the
+CRC of their texts too. Equal rows are interchangeable. A long text is measured
+where it lies. An empty table gives an empty result. Other columns are ignored,
+but `write_shards` writes them.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.cluster import fresh, stored
+
 BITS = 5
 SALTS = 4096
 SHARDS = 40
@@ -72,7 +78,7 @@ def curve_index(dims: list[Column], bits: int = BITS) -> Column:
 
 def ranked(rows: DataFrame, cell: str, key: str, ties: list[str]) -> DataFrame:
     """rows with `rank`, gapless from 0 in the order of cell, salt, key and ties, and `total`."""
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(key, *ties), F.lit(SALTS)))
     counts = rows.groupBy(F.col(cell).alias("_c"), F.col("_salt").alias("_s")).agg(F.count("*").alias("_n"))
     cells = counts.groupBy("_c").agg(F.sum("_n").alias("_n"))
     along = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # over the cells: a bounded number
@@ -83,12 +89,34 @@ def ranked(rows: DataFrame, cell: str, key: str, ties: list[str]) -> DataFrame:
     return rows.join(starts, (F.col(cell) == F.col("_c")) & (F.col("_salt") == F.col("_s"))).withColumn("rank", F.col("_start") + number).drop("_salt", "_c", "_s", "_start")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
-    """(doc_id, size, text_crc32, cell, shard, slot): counts of the shards differ by one at most."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), category(F.col("lang"), bits).alias("_lang"), category(F.col("source"), bits).alias("_source"))
-    rows = rows.select("doc_id", "size", "text_crc32", curve_index([F.col("_source"), F.col("_lang"), magnitude(F.col("size"), bits)], bits).alias("cell"))
+def placed(rows: DataFrame, shards: int) -> DataFrame:
+    """(doc_id, size, text_crc32, cell, shard, slot) for (doc_id, size, text_crc32, cell)."""
     out = ranked(rows, "cell", "doc_id", ["text_crc32", "size"])
     shard = F.expr(f"rank * {shards} div total")
     first = F.expr(f"(rank * {shards} div total * total + {shards - 1}) div {shards}")
-    return out.select("doc_id", "size", "text_crc32", "cell", shard.cast("int").alias("shard"), (F.col("rank") - first).cast("long").alias("slot"))
+    return out.select(*rows.columns, shard.cast("int").alias("shard"), (F.col("rank") - first).cast("long").alias("slot"))
+
+
+def measured(docs: DataFrame, bits: int = BITS) -> list[Column]:
+    """Columns size, text_crc32 and cell of documents."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size = (F.octet_length(text) + 16).cast("long")
+    return [size.alias("size"), F.crc32(text).alias("text_crc32"), curve_index([category(F.col("source"), bits), category(F.col("lang"), bits), magnitude(size, bits)], bits).alias("cell")]
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
+    """(doc_id, size, text_crc32, cell, shard, slot): counts of the shards differ by one at most."""
+    return placed(stored(docs.select("doc_id", *measured(docs, bits))), shards)
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, bits: int = BITS) -> None:
+    """Whole documents as Parquet, one folder shard=i each; a reader's filters on source, lang or size skip most of them.
+
+    The documents are shuffled once to be ranked and once to their shards.
+    """
+    row = fresh(docs, "_row")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select("doc_id", *measured(docs, bits), F.struct(*columns).alias(row))
+    out = placed(rows, shards).select(F.col("shard").alias("shard"), "slot", row)
+    out = out.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+    out.select("shard", f"{row}.*").write.partitionBy("shard").parquet(path)

@@ -7,7 +7,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 OP10 = rf"""
 with base as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as bigint) as size,
-         cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as h
+         cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')), 1, 15) as bigint) as h
   from documents),
 per as (
   select source, cast(sum(size) as bigint) as source_size,
@@ -21,12 +21,13 @@ goal as (
   select source, source_size, coalesce(least(most, w * (select arg_min(level, fill) from levels where fill > level)), most) as target
   from levels),
 parts as (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as whole from goal),
+ranked as (select *, row_number() over (partition by source, h) as i from base),
 units as (
-  select source, h, sum(size) as mass, coalesce(sum(sum(size)) over (partition by source order by h rows between unbounded preceding and 1 preceding), 0) as before
+  select source, h, coalesce(sum(sum(size)) over (partition by source order by h rows between unbounded preceding and 1 preceding), 0) as before
   from base group by source, h)
 select b.doc_id, b.size, p.source_size, p.target,
-       cast(b.size * (p.whole + case when u.mass > 0 and 2 * u.before + u.mass <= 2 * (p.target - p.whole * p.source_size) then 1 else 0 end) as bigint) as taken
-from base b join parts p on b.source is not distinct from p.source
+       cast(b.size * (p.whole + case when 2 * (u.before + (b.i - 1) * b.size) + b.size <= 2 * (p.target - p.whole * p.source_size) then 1 else 0 end) as bigint) as taken
+from ranked b join parts p on b.source is not distinct from p.source
 join units u on b.source is not distinct from u.source and b.h = u.h
 """
 

@@ -59,9 +59,24 @@ def test_shards(edge, empty):
     cells = [r.cell for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
     assert cells == sorted(cells)
     assert hilbert.shard_documents(empty).count() == 0
+    repeated = edge.unionAll(edge).withColumn("doc_id", F.lit(None).cast("long"))
+    count = Counter(r.shard for r in hilbert.shard_documents(repeated, 4).collect()).values()
+    assert sum(count) == 2 * len(rows) and max(count) - min(count) <= 1
     assert "Python" not in hilbert.shard_documents(edge)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_written_shards_can_be_skipped(spark, tmp_path):
+    n = 4000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.pmod(F.xxhash64("id"), F.lit(9)) * F.pmod(F.xxhash64("id"), F.lit(9)) * 30).cast("int")).alias("text"), F.concat(F.lit("l"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)).cast("string")).alias("lang"), F.concat(F.lit("s"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(6)).cast("string")).alias("source"))
+    hilbert.write_shards(docs, str(tmp_path / "out"), 40)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, out.select(docs.columns).collect())) == sorted(map(tuple, docs.collect()))
+    for condition in ("source = 's3'", "lang = 'l1'", "length(text) > 3000", "source = 's3' and lang = 'l1'"):
+        # shards that hold such a row: a file's minima and maxima leave few more to be read
+        assert out.where(condition).select("shard").distinct().count() <= 24, condition
+    assert out.where("source = 's3' and lang = 'l1'").select("shard").distinct().count() <= 6
+
+
 def fill(sizes, weights, cap=3):
     """Targets by filling again and again."""
     total, full, target = float(sum(sizes)), set(), [0.0] * len(sizes)
@@ -96,6 +111,19 @@ def test_mix(spark, edge, empty):
     assert taken == +want
 
 
+def test_mix_of_equal_rows(spark):
+    """Rows without ids, equal rows: each source's words come within one document of its target all the same."""
+    rows = [(None, " ".join(["w"] * 10) + (f" x{i}" if i % 2 else " y"), "a") for i in range(1000)] + [(7, "b " * 20, "b")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(docs).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r["size"] * r.repeats
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 10.5 for s in target)
+    assert Counter(r.text for r in mixing.mixed_documents(docs).collect()).total() == sum(r.repeats for r in got)
+
+
 def test_mix_comes_near(spark):
     df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).otherwise("hot").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 40).cast("int")).alias("text"))
     for levels, bits in ((3, 12), (1, 2), (2, 20)):

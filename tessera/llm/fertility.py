@@ -5,15 +5,20 @@ gives characters per token, the share of byte-fallback tokens and the entropy
 of the tokens. Entropy grows with a text's length, so it is taken relative to
 the median of its language and length class (half octaves of tokens). A text is
 rejected where a measure leaves the band of its language: quartiles over all
-documents of the language, widened by a multiple of their distance. Besides, plain counts (symbols, repeated lines, repeated
+different documents of the language, widened by a multiple of their distance.
+Quantiles come from counts in steps of 1 / STEPS, so they are the same in every
+run, and rows whose figures are all equal (copies) count once. Besides, plain counts (symbols, repeated lines, repeated
 three-word windows) give a base verdict.
 
 Texts are tokenised whole. Each distinct word is tokenised once for each worker
 (a cache, bounded in entries); the rest is array arithmetic on the batch.
 
 Nulls: a null text has no words; a null language is a language of its own. A
-text without words has fertility null and fails the base rule. An empty table
-gives an empty result. Other columns are ignored.
+text without words has fertility null and fails the base rule. A very long text
+is counted whole, in one task. Rows of one doc_id are documents of their own. An
+empty table gives an empty result. Other columns are ignored. The counts are
+made, and stored in the shared folder, by a job that runs while judged() is
+called.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
@@ -33,6 +38,7 @@ VOCABULARY = "piece_bpe_32k.model"
 CACHE_WORDS = 1_000_000
 #: Band: quartiles widened by so many times their distance, and by a least distance; more for texts under STEADY_WORDS, by the root of the ratio.
 WIDEN, STEADY_WORDS = 2.0, 200
+STEPS = 1000
 LEAST = {"chars_per_token": 0.05, "byte_share": 0.02, "entropy_excess": 0.3}
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 SYMBOLS = np.zeros(256, bool)
@@ -177,23 +183,32 @@ def features(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").mapInArrow(each, schema)
 
 
+def quantiles(rows: DataFrame, by: list[str], measures: list[str], shares: list[float]) -> DataFrame:
+    """(by..., _measure...): an array of each measure's quantiles within each group, from counts in steps of 1 / STEPS."""
+    steps = F.explode(F.array(*(F.struct(F.lit(m).alias("of"), F.round(F.col(m) * STEPS).cast("long").alias("step")) for m in measures)))
+    bars = rows.select(*by, steps.alias("x")).where("x.step is not null").groupBy(*by, "x.of", "x.step").agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*by, "of")
+    bars = bars.withColumns({"upto": F.sum("n").over(group.orderBy("step")), "total": F.sum("n").over(group)})
+    found = [F.array(*(F.min(F.when((F.col("of") == m) & (F.col("upto") >= q * F.col("total")), F.col("step") / STEPS)) for q in shares)).alias(f"_{m}") for m in measures]
+    return bars.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(*found)
+
+
 def judged(docs: DataFrame, path: str | None = None) -> DataFrame:
     """features with chars_per_token, byte_share, entropy_excess, base_failed, the bands' verdict `in_bands` and kept."""
     some = F.col("n_tokens") > 0
     ratio = lambda a: F.when(some, F.col(a) / F.col("n_tokens"))
     f = stored(features(docs, path)).withColumns({"chars_per_token": ratio("word_chars"), "byte_share": ratio("n_byte_tokens"), "token_entropy": F.when(some, F.col("token_entropy"))})
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    f = f.withColumn("base_failed", failed)
-    sized = f.withColumn("size_class", F.when(some, F.floor(2 * F.log2("n_tokens"))))
-    usual = sized.where(~failed).groupBy(F.col("lang").alias("_lang"), F.col("size_class").alias("_class")).agg(F.percentile_approx("token_entropy", 0.5, 2000).alias("_usual"))
-    f = sized.join(usual, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("size_class") == F.col("_class")), "left").withColumn("entropy_excess", F.col("token_entropy") - F.col("_usual")).drop("_lang", "_class", "_usual", "size_class")
+    sized = f.withColumns({"base_failed": failed, "size_class": F.when(some, F.floor(2 * F.log2("n_tokens")))})
+    different = lambda rows: rows.where(~F.col("base_failed")).dropDuplicates(["lang", *COUNTS, "token_entropy"])
+    usual = quantiles(different(sized), ["lang", "size_class"], ["token_entropy"], [0.5])
+    f = sized.join(usual, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("size_class") == F.col("_size_class")), "left").withColumn("entropy_excess", F.col("token_entropy") - F.col("_token_entropy")[0]).drop("_lang", "_size_class", "_token_entropy", "size_class")
     measures = list(LEAST)
-    quartiles = f.where(~failed).groupBy(F.col("lang").alias("_lang")).agg(*(F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(f"_{m}") for m in measures))
-    f = f.join(quartiles, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    f = f.join(quantiles(different(f), ["lang"], measures, [0.25, 0.75]), F.col("lang").eqNullSafe(F.col("_lang")), "left")
     short = F.greatest(F.lit(1.0), F.sqrt(F.lit(STEADY_WORDS) / F.greatest("n_words", F.lit(1))))
 
     def inside(m: str):
-        low, high = F.col(f"_{m}")[0], F.col(f"_{m}")[2]
+        low, high = F.col(f"_{m}")[0], F.col(f"_{m}")[1]
         spread = F.greatest((high - low) * WIDEN, F.lit(LEAST[m])) * short
         return F.col(m).between(low - spread, high + spread)
 

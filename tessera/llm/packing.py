@@ -11,15 +11,20 @@ remains at the end is cut at powers of two, so that nothing is padded.
 Every task packs the rows it scans, batch by batch, so nothing is shuffled and
 a batch is all that is in memory; sequences do not cross batches. sequence_id
 is made of the partition's number and a count within it: the same for the same
-table under the same split of its files.
+table under the same split of its files and the same size of Arrow batches.
+
+Every token of a document bears loss, so there the limits on tokens and on
+segments shape the sequences, and that on loss-bearing tokens is idle. In
+conversations (`pack_conversations`) the assistant's turns bear loss, and a
+sequence has room for LOSS_SHARE of its tokens only, so all three do.
 
 Texts are tokenised whole. The ids are those of the `tokenizers` file
 byte_bpe_50k.json; they are made from the same vocabulary's rank file, which
 takes a sixth of the time (a test holds the two against each other).
 
 Nulls: a null text is empty and still has its end token. Rows of one doc_id are
-packed each for itself. An empty table gives an empty result. Other columns are
-ignored.
+packed each for itself. A long text is cut into whole sequences. An empty table
+gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm import common as C
 from tessera.llm.cluster import bounded_batches
@@ -41,7 +47,11 @@ from tessera.llm.cluster import bounded_batches
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SPECIAL = {"<|endoftext|>": 50256}
 END = 1
-TOKENS, SEGMENTS, LOSS_TOKENS = 2048, 256, 2048
+TOKENS, SEGMENTS, LOSS_TOKENS = 2048, 32, 2048
+#: Of a sequence of conversations, the part that may bear loss.
+LOSS_SHARE = 0.75
+#: Turns of a conversation that are packed together.
+TURNS = 256
 #: Examples weighed against each other at once.
 WINDOW = 512
 
@@ -194,3 +204,49 @@ def pack_documents(docs: DataFrame, path: str | None = None, limits: Limits = Li
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids])
 
     return docs.select("doc_id", "text").mapInArrow(each, schema)
+
+
+def pack_conversations(turns: DataFrame, path: str | None = None, limits: Limits = Limits(loss_tokens=int(TOKENS * LOSS_SHARE)), trained: str = "assistant") -> DataFrame:
+    """(conv_id, length, loss_tokens, sequence_id, offset) for (conv_id, turn, role, text): whole conversations under three limits.
+
+    A conversation's tokens are those of its turns in order, each with END; the
+    turns of the role `trained` bear loss. One that is above a limit by itself is
+    cut into conversations of their own at the last turn that fits, and a turn
+    that is longer than a sequence is cut into parts. So are TURNS turns and the
+    next ones: no task holds more of a conversation. Turns of one number are in the
+    order of their role and text; a null text is empty; turns without an id are
+    conversations of their own, equal ones together.
+    """
+    bounded_batches(turns.sparkSession)
+    kind = turns.schema["conv_id"].dataType.simpleString()
+    key = F.struct(F.col("turn"), F.col("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    part = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).otherwise(F.floor(F.col("turn") / TURNS))
+    whole = turns.groupBy("conv_id", part.alias("part")).agg(F.sort_array(F.collect_list(key)).alias("turns")).select("conv_id", "turns")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            owner, lengths, loss = [], [], []
+            for i, said in enumerate(batch.column(1).to_pylist()):
+                n = bears = 0
+                for turn, ids in zip(said, token_ids([t["text"] for t in said], path), strict=True):
+                    left, of_loss = len(ids) + 1, turn["role"] == trained
+                    most = min(limits.tokens, limits.loss_tokens) if of_loss else limits.tokens
+                    while left:
+                        size = min(left, most)
+                        if n and (n + size > limits.tokens or bears + size * of_loss > limits.loss_tokens):
+                            owner.append(i)
+                            lengths.append(n)
+                            loss.append(bears)
+                            n = bears = 0
+                        n, bears, left = n + size, bears + size * of_loss, left - size
+                owner.append(i)
+                lengths.append(n)
+                loss.append(bears)
+            pieces = np.array(pack(np.array(lengths, np.int64), np.array(loss, np.int64), limits, cut=False), np.int64).reshape(-1, 5)
+            at = pieces[:, 0]
+            columns = [batch.column(0).take(pa.array(np.array(owner, np.int64)[at])), pa.array(pieces[:, 2]), pa.array(np.array(loss, np.int64)[at]), pa.array(first + pieces[:, 3]), pa.array(pieces[:, 4])]
+            first += int(pieces[:, 3].max(initial=-1)) + 1
+            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "length", "loss_tokens", "sequence_id", "offset"])
+
+    return whole.mapInArrow(each, f"conv_id {kind}, length long, loss_tokens long, sequence_id long, `offset` long")

@@ -1,20 +1,26 @@
 """TIFF as a media column: write pages, and read them back by walking the image directories.
 
-`encode` writes a classic little-endian TIFF of 8-bit grey pages in strips;
-`pages` reads any byte order, strips or tiles, no compression, PackBits, LZW or
-deflate, with the horizontal predictor undone, and yields one record per page.
-`read_pages` maps a binary column to one row per page; `text_media` stores
-texts as images and reads them back.
+`encode` writes a classic little-endian TIFF of 8-bit grey pages in strips or
+tiles; `pages` reads classic files of any byte order, strips or tiles, no
+compression, PackBits, LZW or deflate, with the horizontal predictor undone, and
+yields one record per page. Samples are 8-bit and chunky: other widths, planar
+layout, the floating-point predictor and BigTIFF are errors. `read_pages` maps a
+binary column to one row per page; `text_media` stores texts as images, each by
+one of LAYOUTS as its bytes decide, and reads them back.
 
 Nulls: a null or empty text is one row of 64 zero samples; a null file has no
-pages. A file that is not a TIFF raises ValueError, and with errors="row" gives
-one row whose `error` is set. An empty table gives an empty result.
+pages. A file that is no TIFF, or whose directories ask for more samples than
+its data can hold, raises ValueError before they are allocated, and with
+errors="row" gives one row whose `error` is set, after the pages before the
+fault. Rows are independent, so ties and repeated rows need no care; a long text
+is many pages. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -55,9 +61,9 @@ def packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpackbits(data: bytes) -> bytes:
+def unpackbits(data: bytes, size: int = sys.maxsize) -> bytes:
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and len(out) < size:
         c = data[i]
         if c < 128:
             out += data[i + 1 : i + 2 + c]
@@ -111,7 +117,7 @@ def lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unlzw(data: bytes) -> bytes:
+def unlzw(data: bytes, size: int = sys.maxsize) -> bytes:
     out, acc, have, at, width = bytearray(), 0, 0, 0, 9
     table: list[bytes] = []
     last = b""
@@ -120,6 +126,8 @@ def unlzw(data: bytes) -> bytes:
             if at >= len(data):
                 return bytes(out)
             acc, have, at = acc << 8 | data[at], have + 8, at + 1
+        if len(out) >= size:
+            return bytes(out)
         have -= width
         code, acc = acc >> have, acc & ((1 << have) - 1)
         if code == 257:
@@ -147,10 +155,20 @@ def compress(data: bytes, scheme: int) -> bytes:
     return {NONE: bytes, LZW: lzw, PACKBITS: packbits, ADOBE_DEFLATE: lambda d: zlib.compress(d, 1), DEFLATE: lambda d: zlib.compress(d, 1)}[scheme](data)
 
 
-def decompress(data: bytes, scheme: int) -> bytes:
-    if scheme not in (NONE, LZW, PACKBITS, ADOBE_DEFLATE, DEFLATE):
-        raise ValueError(f"compression {scheme} is not supported")
-    return {NONE: bytes, LZW: unlzw, PACKBITS: unpackbits, ADOBE_DEFLATE: zlib.decompress, DEFLATE: zlib.decompress}[scheme](data)
+def inflate(data: bytes, size: int) -> bytes:
+    return zlib.decompressobj().decompress(data, size)
+
+
+#: Readers, and the most bytes that a byte of each compression can stand for.
+READERS = {NONE: (lambda d, n: d[:n], 1), PACKBITS: (unpackbits, 64), LZW: (unlzw, 4096), ADOBE_DEFLATE: (inflate, 1040), DEFLATE: (inflate, 1040)}
+
+
+def decompress(data: bytes, scheme: int, size: int) -> bytes:
+    """The first `size` bytes; ValueError if there are fewer."""
+    made = READERS[scheme][0](data, size)[:size]
+    if len(made) < size:
+        raise ValueError("a strip or tile is too short")
+    return made
 
 
 def encode(pixels: np.ndarray, scheme: int = ADOBE_DEFLATE, predictor: int = NO_PREDICTOR, page_rows: int = PAGE_ROWS, strip_rows: int = STRIP_ROWS, tile: tuple[int, int] | None = None) -> bytes:
@@ -196,12 +214,14 @@ def encode(pixels: np.ndarray, scheme: int = ADOBE_DEFLATE, predictor: int = NO_
 
 def _directory(file: bytes, at: int, order: str) -> tuple[dict[int, list[int]], int]:
     n = struct.unpack_from(f"{order}H", file, at)[0]
-    fields = {}
+    fields: dict[int, list[int]] = {}
     for i in range(n):
         tag, kind, count = struct.unpack_from(f"{order}HHI", file, at + 2 + 12 * i)
         if kind not in (1, 3, 4):
             continue
         place = at + 10 + 12 * i
+        if TYPE_SIZE[kind] * count > len(file):
+            raise ValueError("a field is longer than the file")
         if TYPE_SIZE[kind] * count > 4:
             place = struct.unpack_from(f"{order}I", file, place)[0]
         fields[tag] = list(struct.unpack_from(f"{order}{count}{ {1: 'B', 3: 'H', 4: 'I'}[kind] }", file, place))
@@ -225,16 +245,23 @@ def pages(file: bytes) -> Iterator[dict]:
             scheme, predictor = one(COMPRESSION, NONE), one(PREDICTOR, NO_PREDICTOR)
             if set(f.get(BITS_PER_SAMPLE, [1])) != {8} or one(PLANAR, 1) != 1 or predictor not in (NO_PREDICTOR, HORIZONTAL):
                 raise ValueError("only chunky 8-bit samples are supported")
-            pixels = np.zeros((height, width, samples), np.uint8)
+            if scheme not in READERS:
+                raise ValueError(f"compression {scheme} is not supported")
             if TILE_OFFSETS in f:
                 high, wide, starts, counts = one(TILE_LENGTH), one(TILE_WIDTH), f[TILE_OFFSETS], f[TILE_COUNTS]
             else:
                 high, wide, starts, counts = min(one(ROWS_PER_STRIP, height), height), width, f[STRIP_OFFSETS], f[STRIP_COUNTS]
+            if min(width, height, samples, high, wide) < 1:
+                raise ValueError("an image has no samples")
             across = -(-width // wide)
+            most = READERS[scheme][1] * sum(min(n, len(file)) for n in counts)
+            if len(starts) != len(counts) or len(starts) != across * -(-height // high) or height * width * samples > most:
+                raise ValueError("an image has more samples than its data can hold")
+            pixels = np.zeros((height, width, samples), np.uint8)
             for i, (start, count) in enumerate(zip(starts, counts, strict=True)):
                 y, x = i // across * high, i % across * wide
                 tall = high if TILE_OFFSETS in f else min(high, height - y)
-                part = np.frombuffer(decompress(file[start : start + count], scheme), np.uint8)[: tall * wide * samples].reshape(tall, wide, samples)
+                part = np.frombuffer(decompress(file[start : start + count], scheme, tall * wide * samples), np.uint8).reshape(tall, wide, samples)
                 if predictor == HORIZONTAL:
                     part = np.cumsum(part, axis=1, dtype=np.uint8)
                 pixels[y : y + tall, x : x + wide] = part[: height - y, : width - x]
@@ -270,15 +297,23 @@ def read_pages(df: DataFrame, key: str, content: str, errors: str = "raise") ->
     return df.select(key, content).mapInArrow(each, schema)
 
 
+#: Compression, predictor and tile of a stored text, by its CRC modulo their number.
+LAYOUTS = [
+    (ADOBE_DEFLATE, NO_PREDICTOR, None), (ADOBE_DEFLATE, HORIZONTAL, (64, 32)), (DEFLATE, HORIZONTAL, None), (DEFLATE, NO_PREDICTOR, (16, 16)),
+    (LZW, NO_PREDICTOR, None), (LZW, HORIZONTAL, (32, 64)), (PACKBITS, NO_PREDICTOR, (48, 48)), (NONE, HORIZONTAL, None),
+]
+
+
 def stored_text(data: bytes) -> tuple[bytes, bytes, str]:
     """(TIFF, payload read back from it, feature) for the bytes of a text."""
     padded = data + b"\0" * (max(1, -(-len(data) // WIDTH)) * WIDTH - len(data))
-    file = encode(np.frombuffer(padded, np.uint8).reshape(-1, WIDTH), predictor=NO_PREDICTOR)
+    scheme, predictor, tile = LAYOUTS[zlib.crc32(padded) % len(LAYOUTS)]
+    file = encode(np.frombuffer(padded, np.uint8).reshape(-1, WIDTH), scheme, predictor, tile=tile)
     got = list(pages(file))
     samples = np.concatenate([p["pixels"].reshape(-1) for p in got])
     bars = np.bincount(samples >> 4, minlength=16)
     share = bars[bars > 0] / len(samples)
-    feature = f"pages={len(got)};height={sum(p['height'] for p in got)};mean={samples.mean(dtype=np.float64):.3f};entropy={-(share * np.log2(share)).sum() + 0.0:.3f}"
+    feature = f"pages={len(got)};compression={got[0]['compression']};predictor={got[0]['predictor']};height={sum(p['height'] for p in got)};mean={samples.mean(dtype=np.float64):.3f};entropy={-(share * np.log2(share)).sum() + 0.0:.3f}"
     return file, samples.tobytes(), feature
 
 

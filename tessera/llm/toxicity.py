@@ -6,11 +6,16 @@ hashed into 2**BITS coordinates. FTRL-proximal (McMahan et al., 2013) has a
 learning rate for each coordinate and L1 that leaves most weights exactly zero,
 so the model that goes to the executors is a few coordinates, whatever the size
 of the corpus. It is fitted in one task on at most SAMPLE labelled rows of each
-class, those with the smallest hash of doc_id; scoring reads whole texts.
+class, those with the smallest hash of doc_id (of the rows of one doc_id, the
+least text), and of these on the first SAMPLE_BYTES of text, whole texts only.
+Where SAMPLE leaves out more of one class than of the other, the bias is set
+right by the logarithm of that ratio, so that scores are those of the corpus's
+shares at every size. Scoring reads whole texts.
 
 Only the text is an input of the score. Nulls: a null or empty text has the
 score of no features; a row without a label isn't trained on. Where no label
-may be learnt from, every score is 0. Extra columns are ignored.
+may be learnt from, every score is 0. Extra columns are ignored. The weights are
+fitted by jobs that run while scored() is called.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from tessera.llm.cluster import bounded_batches, fresh
 BITS = 20
 #: Labelled rows of each class that the model is fitted on, at most.
 SAMPLE = 3000
+#: Bytes of text that the model is fitted on, at most.
+SAMPLE_BYTES = 128 << 20
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 8.0, 0.01, 5
 THRESHOLD = 0.3
 GRAMS, SKIPS = 3, (1, 2)
@@ -105,25 +112,35 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int,
     """
     h = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1 << 40))
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("_id is not null and toxic in (0, 1)").groupBy("_id").agg(F.max("toxic").alias("toxic")).withColumn("h", h)
-    some = None
+    some, ratio = None, {0: 1.0, 1: 1.0}
     for row in known.groupBy("toxic").count().collect():
+        ratio[row["toxic"]] = min(1.0, sample / row["count"])
         low_enough = F.col("h") < int(min(1.0, (1.5 * sample + 100) / row["count"]) * (1 << 40))
         part = known.where((F.col("toxic") == row["toxic"]) & low_enough).orderBy("h", "_id").limit(sample)
         some = part if some is None else some.unionAll(part)
     if some is None:
         return {}
-    some = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic", "h")  # 2 * sample rows at most
+    # 2 * sample ids at most; of the rows of one, however many, the least text
+    some = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not sum(p.num_rows for p in parts):
+        parts, room = [], SAMPLE_BYTES
+        for batch in batches:  # in the order of h
+            size = np.cumsum(np.diff(C.strings(batch.column(3))[1]))
+            first = int(np.searchsorted(size, room, "right"))
+            if first:
+                parts.append(batch.slice(0, first))
+            room = room - int(size[-1]) if first == len(size) and first else -1 if len(size) else room
+        table = pa.Table.from_batches(parts) if parts else None
+        if table is None or not table.num_rows:
             return
-        table = pa.Table.from_batches(parts)
-        table = table.sort_by([("h", "ascending"), ("doc_id", "ascending")])
         at, w = fit(table["text"], table["toxic"].to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], ["at", "w"])
 
-    return {r["at"]: r["w"] for r in some.repartition(1).mapInArrow(each, "at long, w double").collect()}
+    weights = {r["at"]: r["w"] for r in some.repartition(1).sortWithinPartitions("h", "doc_id").mapInArrow(each, "at long, w double").collect()}
+    if weights:
+        weights[1 << BITS] = weights.get(1 << BITS, 0.0) + float(np.log(ratio[0] / ratio[1]))
+    return weights
 
 
 def score(docs: DataFrame, weights: dict[int, float], text: str = "text", name: str = "score") -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
+import time
 import zlib
 from collections import Counter
 
@@ -89,6 +91,50 @@ def test_number_spans_cover_every_run_of_groups(monkeypatch):
     assert pii.all_spans(texts, pii.model()) == whole
 
 
+@pytest.mark.parametrize("piece", ["jane.doe@mail.example.com +1 (555) 123-4567 4111 1111 1111 1111 ", "1 ", "1.", "+1 (", "a@b ", "x at y dot z ", "555-123-4567 or ann(at)host(dot)org "])
+def test_long_dense_texts(piece):
+    """Four times the text takes about four times as long."""
+    m = pii.model()
+
+    def seconds(n):
+        t = (piece * (n // len(piece) + 1))[:n] + "a"
+        began = time.perf_counter()
+        pii.all_spans([t], m)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(240_000) < 8 * seconds(60_000) + 0.5
+
+
+def test_planted_spans_are_found(spark):
+    """Disguised personal data of forms that the examples don't have word for word, planted in documents."""
+    import random
+
+    r = random.Random(11)
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    forms = [
+        lambda: f"{r.choice(('anna', 'li', 'omar'))}.{r.choice(('kent', 'ruiz'))} (at) {r.choice(('corp', 'uni-x'))} (dot) {r.choice(('com', 'edu'))}",
+        lambda: f"{r.choice(('info', 'hello42'))}[at]{r.choice(('shop', 'blog'))}[dot]net",
+        lambda: f"({r.randint(201, 989)}) {r.randint(200, 999)}-{d(4)}",
+        lambda: f"{r.randint(201, 989)}-{r.randint(200, 999)}-{d(4)}",
+        lambda: f"{r.randint(201, 989)}.{r.randint(200, 999)}.{d(4)}",
+    ]
+    clean = [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null and length(text) > 200").collect()]
+    clean = [t for t in clean if not pii.base_spans(t) and not re.search("[0-9@]", t)]
+    m, found, planted, false = pii.model(), 0, 0, 0
+    for k, t in enumerate(clean * 3):
+        words = t.split(" ")
+        at, span = r.randint(1, len(words) - 1), forms[k % len(forms)]()
+        lead = r.choice(("phone" if any(c.isdigit() for c in span[-4:]) else "mail", "contact", "reach me at", "or"))
+        text = " ".join([*words[:at], lead, span, *words[at:]])
+        start = len(" ".join([*words[:at], lead])) + 1
+        spans = [(s, e) for s, e, _ in pii.all_spans([text], m)[0][1]]
+        planted += 1
+        found += (start, start + len(span)) in spans
+        false += sum(e <= start or s >= start + len(span) for s, e in spans)
+    assert planted > 100 and found / planted > 0.9 and false / planted < 0.02, (found, planted, false)
+
+
 def test_pii_frames(edge, empty):
     got = {(r.doc_id, r.base is not None) for r in pii.found(edge).collect()}
     assert len(got) >= 25 and all(ok for _, ok in got)
@@ -100,6 +146,52 @@ def test_pii_frames(edge, empty):
     assert pii.found(empty).count() == 0 and pii.redact("abcdef", [(1, 4, "ip"), (2, 5, "card")]) == "a[IP]f"
 
 
+def test_fit_equals_a_plain_ftrl():
+    """The same steps with dictionaries, coordinate by coordinate."""
+    import math
+    import random
+
+    r = random.Random(2)
+    texts = [" ".join(r.choice("abcdefgh") for _ in range(12)) + (" bad thing" if i % 3 == 0 else "") for i in range(60)]
+    labels = np.array([int(i % 3 == 0) for i in range(60)])
+    data, off = toxicity.C.strings(pa.array(texts))
+    rows = [set() for _ in texts]
+    for d, f in toxicity.grams(data, off):
+        for i, x in zip(d.tolist(), f.tolist(), strict=True):
+            rows[i].add(x)
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        if abs(z[k]) <= toxicity.L1:
+            return 0.0
+        return -(z[k] - math.copysign(toxicity.L1, z[k])) / ((toxicity.BETA + math.sqrt(n[k])) / toxicity.ALPHA + toxicity.L2)
+
+    rng = np.random.Generator(np.random.PCG64(1))
+    for _ in range(toxicity.EPOCHS):
+        for i in rng.permutation(len(rows)).tolist():
+            at = [*rows[i], 1 << toxicity.BITS]
+            w = {k: weight(k) for k in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - labels[i]
+            for k in at:
+                sigma = (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / toxicity.ALPHA
+                z[k] += g - sigma * w[k]
+                n[k] += g * g
+    want = {k: weight(k) for k in z if weight(k)}
+    at, w = toxicity.fit(pa.array(texts), labels)
+    assert dict(zip(at.tolist(), w.tolist(), strict=True)) == pytest.approx(want)
+
+
+def test_fit_is_bounded(spark, monkeypatch):
+    """Repeated ids and long texts: one row for an id, and so many bytes."""
+    docs = spark.createDataFrame([(i % 50, f"{'you idiot' if i % 2 else 'dear friend'} " * 20) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels) == toxicity.train(docs.dropDuplicates(), labels) != {}
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2000)
+    assert set(toxicity.train(docs, labels)) != set()
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 10)
+    assert toxicity.train(docs, labels) == {}
+
+
 def test_toxicity(spark, edge, empty):
     rows = [(i, f"plain words number {i} of a text " + ("you idiot " if i % 4 == 0 else "friend ") + f"x{i}") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -153,6 +245,37 @@ def test_fertility(edge, empty):
     assert fertility.judged(empty).count() == 0
 
 
+def test_bands_by_hand(spark):
+    """Quantiles of all different rows, in steps, against the same sums by hand."""
+    r = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, " ".join(r.choice([f"word{k}" for k in range(60)], int(r.integers(55, 200)))) if i % 9 else "zq§x " * 60, "en" if i % 2 else None) for i in range(120)] + [(500, "same text of a copy " * 20, "en")] * 60, "doc_id long, text string, lang string")
+    rows = [x.asDict() for x in fertility.judged(docs).collect()]
+    step = lambda v: int(np.floor(abs(v) * fertility.STEPS + 0.5)) * (1 if v >= 0 else -1)
+
+    def quantile(values, q):
+        s = sorted(map(step, values))
+        return next(v for i, v in enumerate(s, 1) if i >= q * len(s)) / fertility.STEPS
+
+    seen = {}
+    for x in rows:
+        x["class"] = int(np.floor(2 * np.log2(x["n_tokens"])))
+        if not x["base_failed"]:
+            seen[x["lang"], *(x[c] for c in fertility.COUNTS), x["token_entropy"]] = x
+    fine = list(seen.values())
+    for x in rows:
+        usual = [y["token_entropy"] for y in fine if (y["lang"], y["class"]) == (x["lang"], x["class"])]
+        assert (x["entropy_excess"] is None) == (not usual)
+        if usual:
+            assert x["entropy_excess"] == pytest.approx(x["token_entropy"] - quantile(usual, 0.5), abs=2e-3)
+        inside = bool(usual)
+        for m, least in fertility.LEAST.items() if usual else ():
+            values = [y[m] for y in fine if y["lang"] == x["lang"]]
+            low, high = quantile(values, 0.25), quantile(values, 0.75)
+            spread = max((high - low) * fertility.WIDEN, least) * max(1, (fertility.STEADY_WORDS / x["n_words"]) ** 0.5)
+            inside &= low - spread <= x[m] <= high + spread
+        assert x["in_bands"] == inside and x["kept"] == (inside and not x["base_failed"])
+
+
 @pytest.mark.parametrize("scheme", [tiff.NONE, tiff.LZW, tiff.PACKBITS, tiff.ADOBE_DEFLATE, tiff.DEFLATE])
 @pytest.mark.parametrize("predictor", [tiff.NO_PREDICTOR, tiff.HORIZONTAL])
 @pytest.mark.parametrize("tile", [None, (16, 32)])
@@ -166,6 +289,14 @@ def test_tiff_round_trip(scheme, predictor, tile):
 
 def test_lzw_widths():
     data = np.random.default_rng(0).integers(0, 256, 40_000).astype(np.uint8).tobytes()
+    bomb = tiff.encode(np.zeros((1, 4), np.uint8), tiff.NONE)
+    at = bomb.index(struct.pack("<HHII", 256, 4, 1, 4))
+    for width in (0, 200_000, 1 << 31):
+        with pytest.raises(ValueError):
+            list(tiff.pages(bomb[: at + 8] + struct.pack("<I", width) + bomb[at + 12 :]))
+    short = tiff.encode(np.zeros((8, 64), np.uint8), tiff.ADOBE_DEFLATE).replace(zlib.compress(bytes(512), 1), zlib.compress(bytes(100), 1).ljust(len(zlib.compress(bytes(512), 1)), b"\0"))
+    with pytest.raises(ValueError):
+        list(tiff.pages(short))
     for part in (b"", b"a", b"ab" * 5000, data[:255], data[:1000], data):
         assert tiff.unlzw(tiff.lzw(part)) == part and tiff.unpackbits(tiff.packbits(part)) == part
     assert tiff.unpackbits(bytes([0xFE, 0xAA, 0x02, 0x80, 0x00, 0x2A, 0xFD, 0xAA, 0x80, 0x03, 0x80, 0x00, 0x2A, 0x22, 0xF7, 0xAA])).hex() == "aaaaaa80002aaaaaaaaa80002a22aaaaaaaaaaaaaaaaaaaa"
@@ -196,6 +327,17 @@ def test_text_media(edge, empty):
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(r.media).hexdigest())
     assert got == texts and tiff.text_media(empty).count() == 0
+    used = {tuple(r.feature.split(";")[1:3]) for r in rows}
+    assert len(used) >= 4 and all(len(list(tiff.pages(bytes(r.media)))) == int(r.feature.split(";")[0][6:]) for r in rows)
+
+
+@pytest.mark.parametrize("layout", range(len(tiff.LAYOUTS)))
+def test_text_layouts(layout, monkeypatch):
+    monkeypatch.setattr(tiff, "LAYOUTS", [tiff.LAYOUTS[layout]])
+    for data in (b"", b"a" * 64, "été \n".encode() * 3000, bytes(range(256)) * 1100):
+        file, payload, _ = tiff.stored_text(data)
+        assert payload[: len(data)] == data and not payload[len(data) :].strip(b"\0") and len(payload) % 64 == 0
+        assert len(list(tiff.pages(file))) == -(-len(payload) // (64 * tiff.PAGE_ROWS))
 
 
 ODD = ["", "  ", " a", "a ", "a\n\n b", "x \n y  z　 ", "it's <|endoftext|> ok", "a\t\tb \n", "\n\n\nabc   def\r\n", "é ñ 日本 \x1f q", "\x1c\x1d a", "a\x85b", "᠎ x​    y", "½ ² Ⅷ 3४", "a﻿b"]
@@ -253,3 +395,31 @@ def test_pack_documents(edge, empty):
         size[r.sequence_id] = r.offset + r.length
     assert all(n == 2048 or n & (n - 1) == 0 for n in size.values())
     assert packing.pack_documents(empty).count() == 0 and pa.__version__
+
+
+def test_pack_conversations(spark):
+    """All three limits bind, and each conversation is whole in one sequence unless it is above a limit."""
+    r = np.random.default_rng(8)
+    turns = [(c, t, "assistant" if t % 2 else "user", "word " * int(r.integers(0, 60))) for c in range(150) for t in range(int(r.integers(1, 7)))]
+    turns += [(1000, 0, "assistant", "long " * 500), (None, 0, "user", "x"), (None, 1, "assistant", None), (1001, 0, None, None)]
+    docs = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+    for limits in (packing.Limits(256, 4, 128), packing.Limits(2048, 32, 1536)):
+        rows = packing.pack_conversations(docs, limits=limits).collect()
+        tokens, loss = Counter(), Counter()
+        for c, _, role, text in turns:
+            n = len(packing.token_ids([text])[0]) + 1
+            tokens[c] += n
+            loss[c] += n * (role == "assistant")
+        got, got_loss, size = Counter(), Counter(), {}
+        for x in sorted(rows, key=lambda x: (x.sequence_id, x.offset)):
+            got[x.conv_id] += x.length
+            got_loss[x.conv_id] += x.loss_tokens
+            at = size.setdefault(x.sequence_id, [0, 0, 0])
+            assert x.offset == at[0]
+            at[:] = at[0] + x.length, at[1] + 1, at[2] + x.loss_tokens
+        assert got == tokens and got_loss == +loss
+        assert all(a <= limits.tokens and b <= limits.segments and c <= limits.loss_tokens for a, b, c in size.values())
+        if limits.tokens == 256:
+            full = [(a > 200, b == 4, c > 100) for a, b, c in size.values()]
+            assert all(any(f[k] for f in full) for k in range(3))
+    assert packing.pack_conversations(docs.limit(0)).count() == 0

@@ -19,6 +19,7 @@ is many pages. An empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import sys
 import zlib
@@ -43,22 +44,23 @@ STRIP_OFFSETS, SAMPLES_PER_PIXEL, ROWS_PER_STRIP, STRIP_COUNTS = 273, 277, 278,
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 284, 317, 322, 323, 324, 325
 
 
+RUN = re.compile(rb"(.)\1{1,127}", re.S)
+
+
 def packbits(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run > 1:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        j = i + 1
-        while j < n and j - i < 128 and not (j + 1 < n and data[j] == data[j + 1]):
-            j += 1
-        out += bytes((j - i - 1,)) + data[i:j]
-        i = j
-    return bytes(out)
+    out, at = [], 0
+
+    def literal(end: int) -> None:
+        for i in range(at, end, 128):
+            part = data[i : min(i + 128, end)]
+            out.append(bytes((len(part) - 1,)) + part)
+
+    for m in RUN.finditer(data):
+        literal(m.start())
+        out.append(bytes((257 - (m.end() - m.start()), data[m.start()])))
+        at = m.end()
+    literal(len(data))
+    return b"".join(out)
 
 
 def unpackbits(data: bytes, size: int = sys.maxsize) -> bytes:
@@ -76,79 +78,84 @@ def unpackbits(data: bytes, size: int = sys.maxsize) -> bytes:
     return bytes(out)
 
 
+#: LZW codes: clear the table, end of data, the first that is made, and the one before which a writer clears.
+CLEAR, STOP, MADE, FULL = 256, 257, 258, 4094
+
+
 def lzw(data: bytes) -> bytes:
     """MSB-first codes of 9 to 12 bits, which widen one code early."""
-    out, acc, have = bytearray(), 256, 9
-    table, width, prefix = {bytes((i,)): i for i in range(256)}, 9, b""
-
-    def put(code: int) -> None:
-        nonlocal acc, have
-        acc, have = acc << width | code, have + width
-        while have >= 8:
-            have -= 8
-            out.append(acc >> have & 255)
-            acc &= (1 << have) - 1
-
-    for b in data:
-        longer = prefix + bytes((b,))
-        if longer in table:
+    codes, table, fresh = [CLEAR], {}, MADE
+    known = table.get
+    prefix = data[0] if data else None
+    for b in data[1:]:
+        key = prefix << 8 | b
+        longer = known(key)
+        if longer is not None:
             prefix = longer
             continue
-        put(table[prefix])
-        table[longer] = len(table) + 2
-        prefix = bytes((b,))
-        size = len(table) + 2
-        if size >= 4094:
-            put(256)
-            table, width = {bytes((i,)): i for i in range(256)}, 9
-        elif size >= 1 << width:  # the reader is one entry behind
-            width += 1
-    if prefix:
-        put(table[prefix])
-        size = len(table) + 3
-        if size >= 4094:
-            put(256)
-            width = 9
-        elif size >= 1 << width:
-            width += 1
-    put(257)
-    if have:
-        out.append(acc << (8 - have) & 255)
-    return bytes(out)
+        codes.append(prefix)
+        table[key] = fresh
+        fresh += 1
+        prefix = b
+        if fresh == FULL:
+            codes.append(CLEAR)
+            table.clear()
+            fresh = MADE
+    if prefix is not None:
+        codes += [prefix] if fresh + 1 < FULL else [prefix, CLEAR]
+    codes.append(STOP)
+    value = np.array(codes, ">u2")
+    # the next code to be made when each is written: as many after the last clearing as have been written since
+    place = np.arange(len(value))
+    since = place - np.concatenate(([0], np.maximum.accumulate(np.where(value == CLEAR, place, 0))[:-1])) - 1
+    width = np.where(place == 0, 9, 9 + np.searchsorted((512, 1024, 2048), MADE + since, "right"))
+    bits = np.unpackbits(value.view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) >= 16 - width[:, None]]).tobytes()
+
+
+#: The width of the k-th code after a clearing, as a reader sees it, one entry behind the writer.
+WIDTHS = 9 + np.searchsorted((511, 1023, 2047), np.maximum(MADE - 1 + np.arange(1 << 13), MADE), "right")
 
 
 def unlzw(data: bytes, size: int = sys.maxsize) -> bytes:
-    out, acc, have, at, width = bytearray(), 0, 0, 0, 9
-    table: list[bytes] = []
-    last = b""
-    while True:
-        while have < width:
-            if at >= len(data):
-                return bytes(out)
-            acc, have, at = acc << 8 | data[at], have + 8, at + 1
-        if len(out) >= size:
-            return bytes(out)
-        have -= width
-        code, acc = acc >> have, acc & ((1 << have) - 1)
-        if code == 257:
-            return bytes(out)
-        if code == 256:
-            table, width, last = [bytes((i,)) for i in range(256)] + [b"", b""], 9, b""
-            continue
-        if not table:
-            table = [bytes((i,)) for i in range(256)] + [b"", b""]
-        if code < len(table):
-            entry = table[code]
-        elif last and code == len(table):
-            entry = last + last[:1]
+    raw = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(3, np.uint8))).astype(np.uint32)
+    out: list[bytes] = []
+    bit = done = k = 0
+    table, last = [bytes((i,)) for i in range(256)] + [b"", b""], b""
+    while done < size:
+        width = WIDTHS[k:] if k < len(WIDTHS) else WIDTHS[-1:].repeat(4096)
+        ends = bit + np.cumsum(width)
+        width = width[: np.searchsorted(ends, 8 * len(data), "right")]
+        if not len(width):
+            break
+        starts = ends[: len(width)] - width
+        at = starts >> 3
+        codes = (raw[at] << 16 | raw[at + 1] << 8 | raw[at + 2]) >> (24 - (starts & 7) - width) & ((1 << width) - 1)
+        stop = np.flatnonzero((codes == CLEAR) | (codes == STOP))
+        n = int(stop[0]) if len(stop) else len(codes)
+        for code in codes[:n].tolist():
+            if code < len(table):
+                entry = table[code]
+            elif last and code == len(table):
+                entry = last + last[:1]
+            else:
+                raise ValueError("a broken LZW stream")
+            out.append(entry)
+            done += len(entry)
+            if last:
+                table.append(last + entry[:1])
+            last = entry
+            if done >= size:
+                break
+        if len(stop) and codes[n] == STOP:
+            break
+        if len(stop):
+            bit, k = int(ends[n]), 0
+            del table[MADE:]
+            last = b""
         else:
-            raise ValueError("a broken LZW stream")
-        out += entry
-        if last:
-            table.append(last + entry[:1])
-        last = entry
-        if len(table) >= (1 << width) - 1 and width < 12:
-            width += 1
+            bit, k = int(ends[n - 1]), k + n
+    return b"".join(out)
 
 
 def compress(data: bytes, scheme: int) -> bytes:

@@ -103,7 +103,7 @@ def test_long_dense_texts(piece):
         return time.perf_counter() - began
 
     seconds(1000)
-    assert seconds(240_000) < 8 * seconds(60_000) + 0.5
+    assert seconds(48_000) < 8 * seconds(12_000) + 0.5
 
 
 def test_planted_spans_are_found(spark):
@@ -122,7 +122,7 @@ def test_planted_spans_are_found(spark):
     clean = [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null and length(text) > 200").collect()]
     clean = [t for t in clean if not pii.base_spans(t) and not re.search("[0-9@]", t)]
     m, found, planted, false = pii.model(), 0, 0, 0
-    for k, t in enumerate(clean * 3):
+    for k, t in enumerate(clean * 2):
         words = t.split(" ")
         at, span = r.randint(1, len(words) - 1), forms[k % len(forms)]()
         lead = r.choice(("phone" if any(c.isdigit() for c in span[-4:]) else "mail", "contact", "reach me at", "or"))

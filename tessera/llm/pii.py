@@ -128,28 +128,54 @@ HINTS = {
 }
 AGAINST = ("order", "invoice", "version", "serial", "isbn", "sku", "id", "date", "total", "price", "page", "no.", "ref", "build", "token", "section")
 FEATURES = ("email", "ip", "card", "phone", "length", "digits", "letters", "dots", "dashes", "spaces", "slashes", "parens", "plus", "groups", "longest_group", "shortest_group", "first_group", "last_group", "luhn", "parts_ok", "spelt_at", "spelt_dot", "at_sign", "tld", "hint", "against", "before_space", "after_space", "money", "distinct", "date_like", "left_size", "left_gap", "left_joined", "right_size", "right_gap", "right_joined")
+LETTER, LAST, AT, DOT = re.compile(r"[^\W\d_]"), re.compile("[a-z]+$"), re.compile("[^a-z]at[^a-z]"), re.compile("[^a-z]dot[^a-z]")
+DATE = re.compile(r"(?:(?:19|20)\d\d[-/. ]\d\d?[-/. ]\d\d?|\d\d?[-/. ]\d\d?[-/. ](?:19|20)\d\d)[\d: ]*")
 #: The group of digits on each side that a run would join to the span, and what stands between.
 LEFT, RIGHT = re.compile(r"([0-9]{1,20})([\x20().\-/]{1,3})$"), re.compile(r"([\x20().\-/]{1,3})([0-9]{1,20})")
 
 
-def features(text: str, start: int, end: int, kind: str) -> list[float]:
-    s = text[start:end]
-    left = text[max(0, start - CONTEXT) : start].lower()
-    groups = re.findall("[0-9]+", s)
+@lru_cache(1 << 15)
+def form(s: str) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """What a span alone shows: the features before the context's, and those after."""
+    groups = DIGITS.findall(s)
     digits = "".join(groups)
     low = s.lower()
     sizes = [len(g) for g in groups] or [0]
-    tail = re.search(r"[a-z]+$", low)
-    before, after = text[start - 1 : start], text[end : end + 1]
-    l, r = LEFT.search(text[max(0, start - 24) : start]), RIGHT.match(text, end)  # noqa: E741
-    return [
-        *(float(kind == k) for k in KINDS), len(s), len(digits), sum(c.isalpha() for c in s), s.count("."), s.count("-"), s.count(" "), s.count("/"), s.count("("), s[:1] == "+",
+    letters = sum(c.isalpha() for c in s) if LETTER.search(s) else 0
+    tail = LAST.search(low) if letters else None
+    return (
+        len(s), len(digits), letters, s.count("."), s.count("-"), s.count(" "), s.count("/"), s.count("("), s[:1] == "+",
         len(groups), max(sizes), min(sizes), sizes[0], sizes[-1], bool(digits) and luhn(digits), len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups),
-        bool(re.search(r"[^a-z]at[^a-z]", low)), bool(re.search(r"[^a-z]dot[^a-z]", low)), "@" in s, len(tail.group()) if tail else 0,
-        any(h in left for h in HINTS[kind]), any(a in left for a in AGAINST), before in ("", " ", "\n", "(", ":", "<", '"'), after in ("", " ", "\n", ")", ".", ",", ";", ">", '"'),
-        before in ("$", "€", "£", "#") or after in ("%", "€"), len(set(digits)), bool(re.fullmatch(r"(?:(?:19|20)\d\d[-/. ]\d\d?[-/. ]\d\d?|\d\d?[-/. ]\d\d?[-/. ](?:19|20)\d\d)[\d: ]*", s)),
-        *((len(l[1]), len(l[2]), " " not in l[2]) if l else (0, 0, False)), *((len(r[2]), len(r[1]), " " not in r[1]) if r else (0, 0, False)),
-    ]
+        bool(letters and AT.search(low)), bool(letters and DOT.search(low)), "@" in s, len(tail.group()) if tail else 0,
+    ), (len(set(digits)), bool(DATE.fullmatch(s)))
+
+
+@lru_cache(1 << 14)
+def hints(left: str, kind: str) -> tuple[bool, bool]:
+    left = left.lower()
+    return any(h in left for h in HINTS[kind]), any(a in left for a in AGAINST)
+
+
+@lru_cache(1 << 14)
+def joined_left(left: str) -> tuple[int, int, bool]:
+    m = LEFT.search(left)
+    return (len(m[1]), len(m[2]), " " not in m[2]) if m else (0, 0, False)
+
+
+@lru_cache(1 << 14)
+def joined_right(right: str) -> tuple[int, int, bool]:
+    m = RIGHT.match(right)
+    return (len(m[2]), len(m[1]), " " not in m[1]) if m else (0, 0, False)
+
+
+def features(text: str, start: int, end: int, kind: str) -> tuple[float, ...]:
+    own, more = form(text[start:end])
+    before, after = text[start - 1 : start], text[end : end + 1]
+    return (
+        *(kind == k for k in KINDS), *own, *hints(text[max(0, start - CONTEXT) : start], kind),
+        before in ("", " ", "\n", "(", ":", "<", '"'), after in ("", " ", "\n", ")", ".", ",", ";", ">", '"'), before in ("$", "€", "£", "#") or after in ("%", "€"),
+        *more, *joined_left(text[max(0, start - 24) : start]), *joined_right(text[end : end + 24]),
+    )
 
 
 def examples(n: int = 8000, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -307,21 +333,25 @@ def model() -> Boosted:
     return Boosted(*examples())
 
 
-#: Proposals whose features are held at once.
-JUDGED = 4096
+#: Different rows of features, and proposals, that are held at once.
+JUDGED, ASKED = 4096, 1 << 16
 
 
 def all_spans(texts: list[str], trees: Boosted) -> list[tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]]:
-    """(base spans, all spans) of each text. An added span overlaps no span of the base or one added with a higher probability."""
+    """(base spans, all spans) of each text. An added span overlaps no span of the base or one added with a higher probability.
+
+    Proposals that look alike are judged once.
+    """
     bases = [base_spans(t) for t in texts]
-    asked, x, good = [], [], []
+    asked: list[tuple[int, int, int, str, int]] = []
+    rows: dict[tuple[float, ...], int] = {}
+    good = []
 
     def judge() -> None:
-        for (i, s, e, k), p in zip(asked, trees.probability(np.array(x, float)).tolist() if x else (), strict=True):
-            if p >= trees.thresholds[RANK[k]]:
-                good.append((p, i, s, e, k))
+        p = trees.probability(np.array(list(rows), float)).tolist() if rows else []
+        good.extend((p[row], i, s, e, k) for i, s, e, k, row in asked if p[row] >= trees.thresholds[RANK[k]])
         asked.clear()
-        x.clear()
+        rows.clear()
 
     taken: dict[int, bytearray] = {}
     for i, (t, base) in enumerate(zip(texts, bases, strict=True)):
@@ -331,9 +361,8 @@ def all_spans(texts: list[str], trees: Boosted) -> list[tuple[list[tuple[int, in
                 for b in base:
                     taken[i][b[0] : b[1]] = b"\1" * (b[1] - b[0])
             if taken[i].find(1, s, e) < 0:
-                asked.append((i, s, e, k))
-                x.append(features(t, s, e, k))
-                if len(x) == JUDGED:
+                asked.append((i, s, e, k, rows.setdefault(features(t, s, e, k), len(rows))))
+                if len(rows) == JUDGED or len(asked) == ASKED:
                     judge()
     judge()
     added: dict[int, list[tuple[int, int, str]]] = {}
